@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallframe.llm import dedup, encoder, neighbors, percentiles, splitter
-from recallframe.session import table
+from recallframe.llm import dedup, encoder, neighbors, packer, percentiles, reading, replies, splitter
+from recallframe.session import cut, table
 
 
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -97,8 +97,51 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoder.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a window of each kind; piece is null for an undivided document."""
+    sizes = cut(encoder.encode_corpus(table(spark, d, "documents"), counts_only=True).toDF("item", "size"))
+    out = None
+    for w in table(spark, d, "context_windows").orderBy("window_name").collect():  # fixed rows
+        own = packer.pack(sizes, w["capacity_tokens"] - w["reserved_tokens"]).select(
+            F.lit(w["window_name"]).alias("window_name"), "window_no", F.col("item").alias("doc_id"), "piece", F.col("size").alias("n_tokens")
+        )
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Windows used, tokens, and the least number of windows that any packing needs."""
+    packed = p8_windows(spark, d).groupBy("window_name").agg(F.max("window_no").alias("windows"), F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("docs"))
+    usable = table(spark, d, "context_windows").select("window_name", (F.col("capacity_tokens") - F.col("reserved_tokens")).alias("usable"))
+    return packed.join(F.broadcast(usable), "window_name").select(
+        "window_name", "windows", "tokens", "docs", F.ceil(F.col("tokens") / F.col("usable")).alias("least"), F.round(F.col("tokens") / (F.col("windows") * F.col("usable")), 6).alias("filled")
+    )
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def reply_fields(spark: SparkSession, d: str) -> DataFrame:
+    """src, row_id, field, question, text, answer, may_refuse of the fields that are judged."""
+    qa = table(spark, d, "qa_compare").dropDuplicates(["prediction_id"])
+    dev = table(spark, d, "developmental_test").dropDuplicates(["result_id"])
+    part = lambda df, src, key, field, refuse: df.select(
+        F.lit(src).alias("src"), F.col(key).alias("row_id"), F.lit(field).alias("field"), "question", F.col(field).alias("text"), "answer", F.lit(refuse).alias("may_refuse")
+    )
+    return (
+        part(qa, "qa_compare", "prediction_id", "hypothesis", True)
+        .unionByName(part(qa, "qa_compare", "prediction_id", "answer", False))
+        .unionByName(part(dev, "developmental_test", "result_id", "hyp_blank", True))
+    )
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return replies.defects(reply_fields(spark, d))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
+    return {"p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
