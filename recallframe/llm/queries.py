@@ -127,7 +127,7 @@ def reply_fields(spark: SparkSession, d: str) -> DataFrame:
     qa = table(spark, d, "qa_compare").dropDuplicates(["prediction_id"])
     dev = table(spark, d, "developmental_test").dropDuplicates(["result_id"])
     part = lambda df, src, key, field, refuse: df.select(
-        F.lit(src).alias("src"), F.col(key).alias("row_id"), F.lit(field).alias("field"), "question", F.col(field).alias("text"), "answer", F.lit(refuse).alias("may_refuse")
+        F.lit(src).alias("src"), F.col(key).alias("row_id"), F.lit(field).alias("field"), "question", F.col(field).alias("text"), (F.lit(None).cast("string") if field == "answer" else F.col("answer")).alias("answer"), F.lit(refuse).alias("may_refuse")
     )
     return (
         part(qa, "qa_compare", "prediction_id", "hypothesis", True)

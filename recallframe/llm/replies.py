@@ -172,7 +172,7 @@ def corpus(pairs: DataFrame) -> Corpus:
     main = prior > 0.01  # languages in which questions are asked
     weights = {}
     for w, v in langs.items():
-        rate = (v + 4 * prior) / prior
+        rate = (v + 12 * prior) / prior
         share = rate * main / (rate * main).sum()
         if w in _SEED:  # common words keep their own languages
             own = np.array([k in _SEED[w] for k in KINDS], dtype=float)
@@ -344,6 +344,8 @@ def examples(base: Corpus, rows: list[tuple]) -> list[tuple]:
             continue
         if usual and (cover >= 0.99 or ended(t)):
             sound.append((q, t, a))
+    golds = [(q, a, None) for q, _, a in sound if a and content(a) and not copied(q, a) and _plain(base, q, a)]
+    sound = sound + golds[: len(sound) // 2]
     by_lang = defaultdict(list)
     for q, t, a in sound:
         by_lang[seed_language(q)].append(t)
@@ -384,10 +386,17 @@ def examples(base: Corpus, rows: list[tuple]) -> list[tuple]:
             made.append((q + " " + t, None))
         if rng.random() < 0.4:
             made.append((_named(pick(ANSWERS_LIKE), rng).replace("{}", t), None))
-        out += [(q, m, a, k) for m, k in made if content(m)]
+        out += [(q, m, a if rng.random() < 0.7 else None, k) for m, k in made if content(m)]
     return out
 
 
+def _plain(base: Corpus, question: str, text: str) -> bool:
+    """Whether a text alone looks sound: its end is usual and its language the question's."""
+    f, m = dense(base, question, text, None), base.masked(text)
+    n, e = base.ends.get("3" + " ".join(m[-3:]), (0, 0))
+    return n >= 4 and e / n > 0.15 and f[12] < 0.1 and f[17] < 0.2
+
+
 class Judge:
     def __init__(self, base: Corpus, model: Linear, given: Linear):
         self.base, self.model, self.given = base, model, given
@@ -442,7 +451,10 @@ def _first(text: str) -> str:
 
 
 def defects(pairs: DataFrame) -> DataFrame:
-    """``src, row_id, field, defect`` of ``src, row_id, field, question, text, answer, may_refuse``."""
+    """``src, row_id, field, defect`` of ``src, row_id, field, question, text, answer, may_refuse``.
+
+    ``answer`` is the row's right answer for a reply, null where the text is that answer itself.
+    """
     pairs = cut(spread(pairs))
     judge = pairs.sparkSession.sparkContext.broadcast(fit(pairs))
 
