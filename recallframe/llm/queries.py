@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallframe.llm import dedup, encoder, neighbors, packer, percentiles, reading, replies, splitter
+from recallframe.llm import dedup, encoder, neighbors, packer, percentiles, pii, reading, replies, splitter
 from recallframe.session import cut, table
 
 
@@ -140,8 +140,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return replies.defects(reply_fields(spark, d))
 
 
+def personal_texts(spark: SparkSession, d: str) -> DataFrame:
+    """src, row_id, text of requests and facts, each delivery once."""
+    one = lambda name, key: table(spark, d, name).dropDuplicates([key]).select(F.lit(name).alias("src"), F.col(key).alias("row_id"), "text")
+    return one("store_requests", "request_id").unionByName(one("extracted_facts", "fact_id"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_items(personal_texts(spark, d), table(spark, d, "given_names"))
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_texts(personal_texts(spark, d), table(spark, d, "given_names"))
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
