@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from recallframe.plans import memory_queries, retrieval_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**retrieval_queries.QUERIES, **memory_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**retrieval_queries.SQL, **memory_queries.SQL}

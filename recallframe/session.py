@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,11 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(per_core * cores)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a columnar table in the shared folder: smaller, and read by column."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
