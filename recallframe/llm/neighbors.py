@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from recallframe.session import cut, spread
 
 DIM, K = 128, 5
-TREES, PROBES, LEAF, SAMPLE, BLOCK, SEED = 5, 10, 96, 65_536, 2_048, 20
+TREES, PROBES, LEAF, SAMPLE, BLOCK, SEED = 5, 10, 96, 32_768, 2_048, 20
 
 
 def usable(vector: str = "vector", dim: int = DIM):
@@ -115,9 +115,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", k: int = K, dim: int = D
     total = reps.count()
 
     take = reps if total <= SAMPLE else reps.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(-(-total // SAMPLE))) == 0)
-    sample = take.orderBy("id").limit(2 * SAMPLE).toPandas()
-    unit = np.array(sample["vector"].tolist(), dtype=np.float32).reshape(-1, dim)
-    unit /= np.linalg.norm(unit.astype(np.float64), axis=1, keepdims=True) if len(unit) else 1
+    sample = take.orderBy("id").limit(2 * SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
+    unit = np.array(sample.flatten(), dtype=np.float32).reshape(-1, dim)
+    if len(unit):
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     forest = spark.sparkContext.broadcast(Forest(unit, total, trees))
     blocks = max(1, -(-total // (forest.value.leaves * BLOCK)))
 
@@ -127,9 +128,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", k: int = K, dim: int = D
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000]
                 ids = part["id"].to_numpy()
-                v = np.array(part["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
-                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-                leaf, own = f.search(v, probes)
+                v = np.array(part["vector"].tolist(), dtype=np.float32).reshape(-1, dim)
+                length = np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+                leaf, own = f.search((v / length).astype(np.float32), probes)
                 i, j = np.nonzero(leaf >= 0)
                 raw = [x.tobytes() for x in v]
                 out = pd.DataFrame({"leaf": leaf[i, j], "id": ids[i], "member": own[i, j], "v": [raw[x] for x in i]})
@@ -144,6 +145,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", k: int = K, dim: int = D
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, member = pdf["id"].to_numpy(), pdf["member"].to_numpy()
         v = np.frombuffer(b"".join(pdf["v"]), dtype=np.float32).reshape(-1, dim).astype(np.float64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
         base, names = v[member], ids[member]
         out = []
         for lo in range(0, len(ids) if len(names) else 0, 1024):
@@ -158,20 +160,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", k: int = K, dim: int = D
     met = (
         spread(reps).mapInPandas(visit, "leaf long, id long, member boolean, v binary, block int")
         .groupBy("leaf", "block").applyInPandas(rank, "a long, b long, cosine double")
-        .groupBy("a", "b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+        .groupBy("a", "b").agg(F.round(F.max("cosine"), 12).alias("cosine"))
     )
     best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    near = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 3)
-
-    # exact cosines of the few kept, in double precision
-    vec = first.where("rn = 1").select("id", "vector")
-    unit_sql = "aggregate(vector, 0D, (s, x) -> s + cast(x as double) * cast(x as double))"
-    vec = vec.withColumn("vector", F.expr(f"transform(vector, x -> cast(x as double) / sqrt({unit_sql}))"))
-    exact = (
-        near.join(vec.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
-        .join(vec.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-        .select("a", "b", F.round(F.expr("aggregate(zip_with(va, vb, (x, y) -> x * y), 0D, (s, x) -> s + x)"), 12).alias("cosine"))
-    )
+    exact = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
     # classes of copies: their smallest k + 1 ids
     ids = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 at most
