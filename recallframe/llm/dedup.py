@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 from recallframe.llm.words import words
 from recallframe.session import cut, spread
 
-PIVOTS, COMMON_FROM, MOST_COMMON, HOT_FROM, MOST_HOT = 8, 50, 300_000, 400, 300_000
+PIVOTS, COMMON_FROM, MOST_COMMON, HOT_FROM, MOST_HOT = 32, 50, 300_000, 400, 300_000
 BANDS = [0, *range(1, 17)]
 while BANDS[-1] < 1 << 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.07)))
 _BANDS = np.array(BANDS)
-TABLE = "src string, item_id long, pos long, n int, h1 long, h2 long, dist long, words array<long>"
+TABLE = "src string, item_id long, pos long, n int, h1 long, h2 long, dist0 long, dist1 long, words array<long>"
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -58,12 +58,13 @@ def describe(texts: DataFrame) -> DataFrame:
                 if not found:
                     continue
                 own = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in found], dtype=np.uint64))
-                counts = np.minimum(np.bincount((own >> np.uint64(61)).astype(np.int64), minlength=PIVOTS), 255)
-                packed = int.from_bytes(bytes(counts.astype(np.uint8)), "little", signed=True)
+                counts = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=PIVOTS), 15).astype(np.uint8)
+                packed = (counts[0::2] | counts[1::2] << 4).tobytes()  # two distances a byte; capping keeps differences a lower bound
+                d0, d1 = (int.from_bytes(packed[i : i + 8], "little", signed=True) for i in (0, 8))
                 name = xxhash.xxh3_128_digest(own.tobytes())
                 h1, h2 = (int.from_bytes(name[i : i + 8], "little", signed=True) for i in (0, 8))
-                out.append((src, item, pos, len(own), h1, h2, packed, own.view(np.int64)))
-            yield pd.DataFrame(out, columns=["src", "item_id", "pos", "n", "h1", "h2", "dist", "words"])
+                out.append((src, item, pos, len(own), h1, h2, d0, d1, own.view(np.int64)))
+            yield pd.DataFrame(out, columns=["src", "item_id", "pos", "n", "h1", "h2", "dist0", "dist1", "words"])
 
     return spread(texts.select("src", "item_id", "pos", "text")).mapInPandas(run, TABLE)
 
@@ -100,10 +101,10 @@ def _keys(table: DataFrame, rank: dict[int, int], hot: dict[int, bool] | None =
                 part = pdf.iloc[lo : lo + 1000]
                 keys = [sorted(set(of(w.tolist()))) for w in part["words"]]
                 reps = [len(x) for x in keys]
-                out = part[["src", "item_id", "pos", "n", "dist"]].loc[part.index.repeat(reps)]
+                out = part[["src", "item_id", "pos", "n", "dist0", "dist1"]].loc[part.index.repeat(reps)]
                 yield out.assign(key=[k for x in keys for k in x])
 
-    return table.select("src", "item_id", "pos", "n", "dist", "words").mapInPandas(run, "src string, item_id long, pos long, n int, dist long, key long")
+    return table.select("src", "item_id", "pos", "n", "dist0", "dist1", "words").mapInPandas(run, "src string, item_id long, pos long, n int, dist0 long, dist1 long, key long")
 
 
 def _bounded(counts: DataFrame, least: int, most: int) -> dict[int, int]:
@@ -130,10 +131,10 @@ def matches(table: DataFrame, other: DataFrame | None = None, rank: dict[int, in
     hot = _bounded(cut(counts.where(F.col("c") >= HOT_FROM)), HOT_FROM, MOST_HOT)
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return _keys(df, rank, hot).select("key", "src", F.struct("item_id", "pos").alias(name), F.col("n").alias(f"n_{name}"), F.col("dist").alias(f"d_{name}"))
+        return _keys(df, rank, hot).select("key", "src", F.struct("item_id", "pos").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(f"dist{i}").alias(f"d{i}_{name}") for i in (0, 1)))
 
     left, right = side(table if other is None else other, "a"), side(table, "b")
-    pivots = " + ".join(f"abs((shiftrightunsigned(d_a, {8 * i}) & 255) - (shiftrightunsigned(d_b, {8 * i}) & 255))" for i in range(PIVOTS))
+    pivots = " + ".join(f"abs((shiftrightunsigned(d{h}_a, {4 * i}) & 15) - (shiftrightunsigned(d{h}_b, {4 * i}) & 15))" for h in (0, 1) for i in range(PIVOTS // 2))
     bound = "n_a + n_b - 2 * cast(ceil((4 * (n_a + n_b)) / 9D - 1e-9) as int)"
     order = "a < b" if other is None else "true"
     pairs = left.join(right, ["key", "src"]).where(f"{order} and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and {pivots} <= {bound}").select("src", "a", "b").distinct()
