@@ -17,7 +17,7 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
     """Raw records of whole-file JSON: a list, a wrapped list, or one object; a scalar is an error."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     ok = F.rlike(kind, F.lit("^(ARRAY|OBJECT)"))
     checked = whole.withColumn("v", F.when(ok, F.col("v")).otherwise(F.raise_error(F.lit("a list or an object is needed"))))
@@ -69,7 +69,7 @@ def preset(rows: DataFrame, kind: str) -> DataFrame:
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """path, text of all Markdown files below a folder."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("wholetext", True).text(root)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
