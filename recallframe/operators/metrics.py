@@ -64,11 +64,6 @@ def with_total(df: DataFrame, by: str, aggregates: list[Column]) -> DataFrame:
     return df.groupingSets([[by], []], by).agg(F.grouping(by).alias("_g"), *aggregates).withColumn(by, F.when(F.col("_g") == 1, "ALL").otherwise(F.col(by))).drop("_g")
 
 
-def upper_median(value: Column) -> Column:
-    """The element at n div 2 of the sorted values, by exact percentile of the discrete kind."""
-    return F.element_at(F.array_sort(F.collect_list(value)), (F.count(value) / 2).cast("int") + 1)
-
-
 def regressions(golden: DataFrame, current: DataFrame, lower_is_better: float = 0.20, higher_is_better: float = 0.05) -> DataFrame:
     """system, metric, golden, current, status of two tables (system, metric, value)."""
     both = golden.select("system", "metric", F.col("value").alias("golden")).join(current.select("system", "metric", F.col("value").alias("current")), ["system", "metric"], "full")

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 OPS = "seq long, op string, node_id string, text string, metadata string, patch string"
 BUNDLE_NAME = re.compile(r"[A-Za-z0-9_.-]{1,64}")
@@ -20,24 +19,23 @@ def before_damage(ops: DataFrame) -> DataFrame:
 
 
 def fold(ops: DataFrame, upto: int | None = None) -> DataFrame:
-    """State of the log, also as of ``upto``: node_id, seq, text, metadata, patches (in order).
+    """State of the log, also as of ``upto``: node_id, seq, text, metadata, patches (their number), patch (merged).
 
     A second store of a live id is ignored, forget removes, a later store brings
-    the id back, and patches count only after the store that made the entry.
+    the id back, and patches count only after the store that made the entry; the
+    last patch of a key wins.  All steps are aggregates with map-side parts and
+    joins that adaptive execution splits, so an id may hold any share of the log.
     """
     log = ops if upto is None else ops.where(F.col("seq") <= upto)
-    own = Window.partitionBy("node_id")
-    gone = F.coalesce(F.max(F.when(F.col("op") == "forget", F.col("seq"))).over(own), F.lit(-1))
-    live = log.withColumn("gone", gone).where((F.col("seq") > F.col("gone")) & (F.col("op") != "forget"))
-    born = F.min(F.when(F.col("op") == "store", F.col("seq"))).over(own)
-    live = live.withColumn("born", born).where(F.col("born").isNotNull() & (F.col("seq") >= F.col("born")))
-    first = F.col("seq") == F.col("born")
-    return live.groupBy("node_id").agg(
-        F.min("born").alias("seq"),
-        F.max(F.when(first, F.col("text"))).alias("text"),
-        F.max(F.when(first, F.col("metadata"))).alias("metadata"),
-        F.transform(F.array_sort(F.collect_list(F.when((F.col("op") == "update") & F.col("patch").isNotNull(), F.struct("seq", "patch")))), lambda x: x["patch"]).alias("patches"),
-    )
+    gone = log.where("op = 'forget'").groupBy("node_id").agg(F.max("seq").alias("gone"))
+    live = log.where("op <> 'forget'").join(gone, "node_id", "left").where("gone is null or seq > gone").drop("gone")
+    born = live.where("op = 'store'").groupBy("node_id").agg(F.min(F.struct("seq", "text", "metadata")).alias("first"))
+    entries = born.select("node_id", "first.seq", "first.text", "first.metadata")
+    later = live.where("op = 'update'").join(entries.select("node_id", F.col("seq").alias("born")), "node_id").where("seq > born")
+    number = later.groupBy("node_id").agg(F.count("*").alias("patches"))
+    keys = later.select("node_id", "seq", F.explode(F.from_json("patch", "map<string,string>")).alias("k", "v")).groupBy("node_id", "k").agg(F.max_by("v", "seq").alias("v"))
+    patch = keys.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("patch"))  # one entry per key
+    return entries.join(number, "node_id", "left").join(patch, "node_id", "left").withColumn("patches", F.coalesce("patches", F.lit(0)))
 
 
 def merged(metadata, patches):

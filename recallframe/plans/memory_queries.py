@@ -14,7 +14,7 @@ from recallframe.operators import packing as pk
 from recallframe.operators import sequences as sq
 from recallframe.operators import store as st
 from recallframe.plans.retrieval_queries import once
-from recallframe.session import table
+from recallframe.session import shared_path, table
 from recallframe.sources import schemas
 from recallframe.streaming import jobs
 
@@ -44,17 +44,17 @@ _OPS = """(SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'forget' WH
 user_id || '-' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS node_id, event_type AS text FROM events{w})"""
 _FOLD = f"""WITH o AS {_OPS}, g AS (SELECT *, coalesce(max(CASE WHEN op = 'forget' THEN seq END) OVER (PARTITION BY node_id), -1) AS gone FROM o),
 l AS (SELECT *, min(CASE WHEN op = 'store' THEN seq END) OVER (PARTITION BY node_id) AS born FROM g WHERE seq > gone AND op <> 'forget')
-SELECT node_id, born AS seq, max(CASE WHEN seq = born THEN text END) AS text, CAST(count(CASE WHEN op = 'update' THEN 1 END) AS INTEGER) AS patches FROM l WHERE born IS NOT NULL AND seq >= born GROUP BY node_id, born"""
+SELECT node_id, born AS seq, max(CASE WHEN seq = born THEN text END) AS text, count(CASE WHEN op = 'update' THEN 1 END) AS patches FROM l WHERE born IS NOT NULL AND seq >= born GROUP BY node_id, born"""
 
 
 @query("wal_fold", _FOLD.replace("{w}", ""))
 def wal_fold(s, d):
-    return st.fold(st.before_damage(_ops(s, d))).select("node_id", "seq", "text", F.size("patches").alias("patches"))
+    return st.fold(st.before_damage(_ops(s, d))).select("node_id", "seq", "text", "patches")
 
 
 @query("time_travel", _FOLD.replace("{w}", " WHERE event_id <= 5000"))
 def time_travel(s, d):
-    return st.fold(_ops(s, d), 5000).select("node_id", "seq", "text", F.size("patches").alias("patches"))
+    return st.fold(_ops(s, d), 5000).select("node_id", "seq", "text", "patches")
 
 
 @query("compaction_tail", f"SELECT op, count(*) AS n FROM {_OPS.replace('{w}', '')} WHERE seq > 5000 GROUP BY op")
@@ -656,10 +656,7 @@ def stream_late(s, d):
 
 @query("stream_rate_limit")
 def stream_rate_limit(s, d):
-    from recallframe.session import checkpoint_dir
-    import uuid
-
-    out = f"{checkpoint_dir(s)}/streams/{uuid.uuid4().hex}"
+    out = shared_path(s, "streams")
     q = jobs.limited(jobs.event_stream(s, f"{d}/events.parquet"), 1 / 3600, 5.0).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = s.read.parquet(f"{out}/rows")

@@ -61,9 +61,19 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(per_core * cores)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # only what exists can be marked for deletion
+    files.deleteOnExit(place)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as a columnar table in the shared folder: smaller, and read by column."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_path(spark, 'tables')}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

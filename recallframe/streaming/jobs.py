@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallframe.session import checkpoint_dir
+from recallframe.session import shared_path
 
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 1) -> DataFrame:
@@ -44,7 +43,7 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it wrote, as a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = shared_path(spark, "streams")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     else:  # the last state of every key, rewritten with each batch

@@ -119,7 +119,7 @@ def test_fold(spark):
     log = spark.createDataFrame(ops, store.OPS)
     state = store.fold(store.before_damage(log))
     assert rows(state, "node_id", "text") == [("a", "one"), ("b", "again")]
-    assert state.where("node_id = 'a'").first()["patches"] == ['{"k": 1}']
+    assert state.where("node_id = 'a'").first()["patch"] == {"k": "1"}
     assert rows(store.fold(log, 6), "node_id", "text") == [("a", "one"), ("b", "two")]
     assert store.fold(log.limit(0)).count() == 0
 
