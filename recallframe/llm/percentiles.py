@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallframe.session import cut
+from recallframe.session import cut, written
 
 PERCENTS = (50, 90, 95, 99)
 FAN_BITS = 10
@@ -39,9 +39,14 @@ def bits(value: Column) -> Column:
     return F.when(value < F.lit(2.0**-1000), F.lit(0)).otherwise((scale + 1023).cast("long") * (1 << 52) + mantissa.cast("long"))
 
 
-def bisect(values: DataFrame, group: str = "gid", value: str = "value", percents: tuple[int, ...] = PERCENTS) -> DataFrame:
-    """``group, percent, rank, n, value, passes`` for a table of (group, value)."""
-    rows = cut(values.select(F.col(group).alias("gid"), F.col(value).cast("double").alias("v")).withColumn("b", bits(F.col("v"))))
+def bisect(values: DataFrame, percents: tuple[int, ...] = PERCENTS, held: bool = False) -> DataFrame:
+    """``gid, percent, rank, n, value, passes`` for a table of (gids, value).
+
+    ``gids`` is the array of the row's groups (longs); ``value`` its usable measure.
+    ``held``: the values come from a written table, which the passes may scan again.
+    """
+    kept = values if held else written(values.select("gids", "value"))
+    rows = kept.select("gids", F.col("value").cast("double").alias("v")).withColumn("b", bits(F.col("v"))).select(F.explode("gids").alias("gid"), "b", "v")
     small = F.broadcast
     sizes = rows.groupBy("gid").agg(F.count("*").alias("n"), F.min("b").alias("lo"), (F.max("b") + 1).alias("hi"))
     state = cut(
@@ -82,20 +87,24 @@ def bisect(values: DataFrame, group: str = "gid", value: str = "value", percents
         )
         done = state.where((F.col("hi") - F.col("lo") <= 1) | (F.col("inside") <= FEW))
         state = cut(done.unionByName(narrowed))
-    last = state.groupBy("gid").agg(F.collect_list(F.struct("percent", "n", "rank", "lo", "hi", "below")).alias("todo"))
+    # groups of few rows were never narrowed: each row goes to its group once and answers all percentiles
+    few = state.where(F.col("n") <= FEW).groupBy("gid").agg(F.collect_list(F.struct("percent", "n", "rank")).alias("todo"))
+    each = rows.join(small(few.select("gid")), "gid").groupBy("gid", "v").agg(F.count("*").alias("c"))
+    ranked = each.withColumn("upto", F.sum("c").over(Window.partitionBy("gid").orderBy("v")))
+    of_few = ranked.join(small(few), "gid").select("gid", "v", "c", "upto", F.explode("todo").alias("t")).where("upto >= t.rank and upto - c < t.rank")
+
+    last = state.where(F.col("n") > FEW).groupBy("gid").agg(F.collect_list(F.struct("percent", "n", "rank", "lo", "hi", "below")).alias("todo"))
     left = (
         rows.join(small(last), "gid")
         .select("gid", "b", "v", F.explode("todo").alias("t"))
         .where((F.col("b") >= F.col("t.lo")) & (F.col("b") < F.col("t.hi")))
-        .groupBy("gid", F.col("t.percent").alias("percent"), F.col("t.n").alias("n"), F.col("t.rank").alias("rank"), F.col("t.below").alias("below"), "v")
+        .groupBy("gid", "t", "v")
         .agg(F.count("*").alias("c"))
     )
-    by_value = Window.partitionBy("gid", "percent").orderBy("v")
-    found = left.withColumn("upto", F.col("below") + F.sum("c").over(by_value))
-    return (
-        found.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
-        .select("gid", "percent", "rank", "n", F.col("v").alias("value"), F.lit(passes).alias("passes"))
-    )
+    by_value = Window.partitionBy("gid", "t.percent").orderBy("v")
+    of_many = left.withColumn("upto", F.col("t.below") + F.sum("c").over(by_value)).where("upto >= t.rank and upto - c < t.rank")
+    out = lambda df: df.select("gid", F.col("t.percent").alias("percent"), F.col("t.rank").alias("rank"), F.col("t.n").alias("n"), F.col("v").alias("value"), F.lit(passes).alias("passes"))
+    return out(of_few).unionByName(out(of_many))
 
 
 def usable(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallframe.llm import dedup, encoder, neighbors, packer, percentiles, pii, reading, replies, splitter
-from recallframe.session import cut, table
+from recallframe.session import cut, table, written
 
 
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -26,24 +26,28 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.neighbour_pairs(table(spark, d, "memory_vectors")).toDF("vec_id_a", "vec_id_b")
 
 
+_GROUP = ("src", "question_type", "method", "run_day", "shard")
+
+
 def _measures(spark: SparkSession, d: str) -> DataFrame:
-    """(gid, value): each row for its day's and shard's group and for the combined group."""
-    rows = table(spark, d, "alpha_sweep").distinct().where(percentiles.usable(F.col("retrieval_ms")))
-    kind = percentiles.canonical_type(F.col("question_type"))
-    fine = F.struct(F.lit("alpha_sweep").alias("src"), kind.alias("question_type"), F.lit(None).cast("string").alias("method"), F.col("run_day"), F.col("shard"))
-    whole = F.struct(F.lit("alpha_sweep").alias("src"), kind.alias("question_type"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("date").alias("run_day"), F.lit(None).cast("int").alias("shard"))
-    sweep = rows.select(F.explode(F.array(fine, whole)).alias("gid"), F.col("retrieval_ms").alias("value"))
-    rows = table(spark, d, "qa_compare").dropDuplicates(["prediction_id"]).where(percentiles.usable(F.col("llm_ms")))
-    fine = F.struct(F.lit("qa_compare").alias("src"), kind.alias("question_type"), F.col("method"), F.col("run_day"), F.lit(None).cast("int").alias("shard"))
-    whole = F.struct(F.lit("qa_compare").alias("src"), kind.alias("question_type"), F.col("method"), F.lit(None).cast("date").alias("run_day"), F.lit(None).cast("int").alias("shard"))
-    qa = rows.select(F.explode(F.array(fine, whole)).alias("gid"), F.col("llm_ms").alias("value"))
-    return sweep.unionByName(qa)
+    """The measures with their two groups each: of day (and shard), and combined over all."""
+    kind, null = percentiles.canonical_type(F.col("question_type")), lambda t: F.lit(None).cast(t)
+    sweep = table(spark, d, "alpha_sweep").distinct().where(percentiles.usable(F.col("retrieval_ms")))
+    qa = table(spark, d, "qa_compare").dropDuplicates(["prediction_id"]).where(percentiles.usable(F.col("llm_ms")))
+    rows = sweep.select(F.lit("alpha_sweep").alias("src"), kind.alias("question_type"), null("string").alias("method"), "run_day", "shard", F.col("retrieval_ms").alias("value"))
+    return rows.unionByName(qa.select(F.lit("qa_compare").alias("src"), kind.alias("question_type"), "method", "run_day", null("int").alias("shard"), F.col("llm_ms").alias("value")))
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles with error bound 0; run_day and shard null: combined over all."""
-    found = percentiles.bisect(_measures(spark, d))
-    return found.select("gid.*", "percent", "rank", "n", "value", F.lit(0.0).alias("error_bound"))
+    rows = _measures(spark, d)
+    mark = lambda *cols: F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols))
+    fine, whole = mark(*_GROUP), F.xxhash64(mark(*_GROUP[:3]), F.lit("combined"))
+    keyed = written(rows.withColumn("fine", fine).withColumn("whole", whole))
+    found = percentiles.bisect(keyed.select(F.array("fine", "whole").alias("gids"), "value"), held=True)
+    own = keyed.select(F.col("fine").alias("gid"), *_GROUP).distinct()
+    combined = keyed.select(F.col("whole").alias("gid"), *_GROUP[:3], F.lit(None).cast("date").alias("run_day"), F.lit(None).cast("int").alias("shard")).distinct()
+    return found.join(own.unionByName(combined), "gid").select(*_GROUP, "percent", "rank", "n", "value", F.lit(0.0).alias("error_bound"))
 
 
 P4_SQL = """
