@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from recallframe.session import cut, spread
 
 DIM, K = 128, 5
-TREES, PROBES, LEAF, SAMPLE, BLOCK, SEED = 5, 10, 96, 32_768, 2_048, 20
+TREES, PROBES, LEAF, SAMPLE, BLOCK, SEED = 6, 16, 128, 32_768, 2_048, 20
 
 
 def usable(vector: str = "vector", dim: int = DIM):
