@@ -49,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def splits(df: DataFrame) -> int:
+    """About how many tasks ``df`` comes in, from the plan's size alone; nothing is run for it."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return size // most if size < 1 << 60 else df.rdd.getNumPartitions()  # no size known: a table without lineage
+
+
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Give a Python stage enough tasks.
 
@@ -56,9 +64,7 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     unshuffled; only an input of few splits is dealt out again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(per_core * cores)
+    return df if splits(df) >= 2 * cores else df.repartition(per_core * cores)
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
