@@ -288,6 +288,7 @@ class Linear:
         rng = np.random.default_rng(SEED)
         hold = rng.random(len(g)) < 0.2
         fit = np.flatnonzero(~hold)
+        epochs = max(epochs, min(40, 40_000 // max(1, len(g))))  # a small sample is gone through more often
         gw, gv = np.full_like(self.w, 1e-3), np.full_like(self.v, 1e-3)
         for _ in range(epochs):
             rng.shuffle(fit)
@@ -387,6 +388,14 @@ def examples(base: Corpus, rows: list[tuple]) -> list[tuple]:
         if rng.random() < 0.4:
             made.append((_named(pick(ANSWERS_LIKE), rng).replace("{}", t), None))
         out += [(q, m, a if rng.random() < 0.7 else None, k) for m, k in made if content(m)]
+    asked = defaultdict(list)
+    for q, _, a in sound:
+        asked[seed_language(q)].append((q, a))
+    for lang, phrases in REFUSALS.items():  # every phrase some times, however small the sample
+        for phrase in phrases if asked[lang] else []:
+            for _ in range(6):
+                q, a = pick(asked[lang])
+                out.append((q, _named(phrase + pick(["", ".", "!"]), rng), a, "refusal"))
     return out
 
 
@@ -438,7 +447,9 @@ def fit(pairs: DataFrame) -> Judge:
     model = Linear(d.shape[1]).train([grams(base, t, q) for q, t, _, _ in made], d, y)
     rng = np.random.default_rng(SEED)
     yes = [_named(t, rng) for t in NEVER_GIVEN for _ in range(12)]
-    no = list(dict.fromkeys([a for _, _, a in rows if a and not any(a.startswith(_first(x)) for x in NEVER_GIVEN)]))[:1500]
+    starts = tuple(_first(x) for x in NEVER_GIVEN)
+    plain = lambda ts: list(dict.fromkeys(t for t in ts if t and not t.startswith(starts)))[:1500]
+    no = plain(a for _, _, a in rows) + plain(t for _, t, _, k in made if k is None)
     texts = yes + no
     z = np.zeros((len(texts), len(DEFECTS)))
     z[: len(yes), 0] = 1

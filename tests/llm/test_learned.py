@@ -97,7 +97,7 @@ def _pairs(spark):
         asked, good, answer = rng.choice(en if rng.random() < 0.8 else de)
         text, defect = good, None
         if i % 6 == 0:
-            text, defect = rng.choice([(good[: len(good) // 2], "truncated"), ("I do not have enough information." if asked[0] != "W" or "Why" in asked or "Where" in asked else "Das weiß ich nicht.", "refusal"), (asked, "copied"), ("n/a", "empty"), ("Het staat in de notitie van gisteren, ergens op de tweede pagina.", "other_language")])
+            text, defect = rng.choice([(good[: rng.randint(9, len(good) - 6)].rstrip(" ,"), "truncated"), ("I do not have enough information." if asked[0] != "W" or "Why" in asked or "Where" in asked else "Das weiß ich nicht.", "refusal"), (asked, "copied"), ("n/a", "empty"), ("Het staat in de notitie van gisteren, ergens op de tweede pagina.", "other_language")])
         made.append(("s", i, "f", asked, text, answer, True, defect))
     df = spark.createDataFrame(made, "src string, row_id long, field string, question string, text string, answer string, may_refuse boolean, defect string")
     return df, {r[1]: r[7] for r in made}
