@@ -149,14 +149,15 @@ def pack(sizes: DataFrame, capacity: int, groups: int = GROUPS, small: float = S
 
     floor = int(capacity * small)
     histogram = rest.where(F.col("size") > floor).groupBy("size").agg(F.count("*").alias("c")).orderBy(F.desc("size")).collect()  # at most capacity rows
-    above, number, starts = 0, {}, []
+    above, number = 0, {}
     for row in histogram:
         number[row["size"]] = above
         above += row["c"]
-    if len(histogram) <= groups:  # few sizes as they are
+    step, few = max(1, -(-above // groups)), len(histogram) <= groups
+    if few:  # few sizes as they are
         kinds = [(row["size"], row["c"], number[row["size"]]) for row in histogram]
     else:
-        step, kinds = -(-above // groups), []
+        kinds = []
         for lo in range(0, above, step):
             largest = next(row["size"] for row in histogram if number[row["size"]] + row["c"] > lo)
             kinds.append((largest, min(step, above - lo), lo))
@@ -166,15 +167,17 @@ def pack(sizes: DataFrame, capacity: int, groups: int = GROUPS, small: float = S
         for g in np.flatnonzero(pattern):
             a = int(pattern[g])
             lo = kinds[g][2] + taken[g]
-            slots.append((lo, lo + a * times, a, window))
+            slots.append((int(g), lo, lo + a * times, a, window))
             taken[g] += a * times
         window += times
-    starts = spark.createDataFrame(slots or [(0, 0, 1, 0)], "lo long, hi long, per long, first long")  # under groups * (groups + rest) rows
-    places = spark.createDataFrame([(int(s), int(n)) for s, n in number.items()] or [(-1, 0)], "size long, above long")  # at most capacity rows
+    starts = spark.createDataFrame(slots or [(-1, 0, 0, 1, 0)], "g long, lo long, hi long, per long, first long")  # under groups * (groups + rest) rows
+    # at most capacity rows; with few sizes each is its own group, else groups are ranges of ranks
+    places = spark.createDataFrame([(int(s), int(n), i) for i, (s, n) in enumerate(number.items())] or [(-1, 0, 0)], "size long, above long, own long")
     large = _numbered(rest.where(F.col("size") > floor), [F.col("size")], ["size"], total)
     large = (
         large.join(F.broadcast(places), "size").withColumn("at", F.col("above") + F.col("place"))
-        .join(F.broadcast(starts), F.expr("at >= lo and at < hi"))
+        .withColumn("g", F.col("own") if few else F.expr(f"at div {step}"))
+        .join(F.broadcast(starts), "g").where("at >= lo and at < hi")
         .select((F.col("first") + F.expr("(at - lo) div per")).alias("window_no"), "item", "piece", "size")
     )
     large = cut(large)
