@@ -64,7 +64,7 @@ def bullets(text: Column) -> Column:
     lines = F.split(text, "\\r?\\n")
     mark = "^\\s*[-*•]\\s*(.+?)\\s*$"
     marked = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(mark))), lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, mark, 1), "^[\"']+|[\"']+$", "")))
-    plain = F.filter(F.transform(lines, F.trim), lambda x: F.rlike(x, F.lit("[\\p{L}\\p{N}]")) & (F.length(x) < 200))
+    plain = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit("[\\p{L}\\p{N}]")) & (F.length(x) < 200))
     return F.when(F.size(marked) > 0, marked).otherwise(plain)
 
 
