@@ -18,6 +18,8 @@ from recallframe.session import shared_path, table
 from recallframe.sources import schemas
 from recallframe.streaming import jobs
 
+#: Facts that ask in one task.
+FACTS = 256
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -160,11 +162,23 @@ c AS ({_CAND}), t AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY
 b AS (SELECT fact_id, max(score) AS best FROM t WHERE r <= 5 AND NOT superseded GROUP BY fact_id)
 SELECT fs.fact_id, round(best, 6) AS best, CASE WHEN best IS NULL OR best < 0.75 THEN 'add' WHEN best >= 0.92 THEN 'near_dup' ELSE 'ambiguous' END AS decision FROM fs LEFT JOIN b USING (fact_id)""")
 def reconcile_tristate(s, d):
-    """Each fact against the eight before it in its session."""
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy("fact_id"))
-    f = once(s, d, "extracted_facts", "fact_id").where("text is not null and session_id is not null").select("fact_id", "session_id", tx.word_set(F.col("text")).alias("ws"), n.alias("n"))
-    ahead = f.select("session_id", F.col("fact_id").alias("other_id"), F.col("ws").alias("other"), F.explode(F.array(*(F.col("n") + i for i in range(1, 9)))).alias("n"))
-    c = f.join(ahead, ["session_id", "n"]).select("fact_id", "other_id", vec.jaccard(F.col("ws"), F.col("other")).alias("score"), (F.col("other_id") % 7 == 0).alias("superseded"))
+    """Each fact against all facts before it of its session and user; without a user, against those of every user.
+
+    Every earlier fact counts as stored.  The facts of a scope are numbered, and those that
+    ask dealt into blocks by number, so a hot scope is many tasks; a block keeps its 5 best.
+    """
+    f = once(s, d, "extracted_facts", "fact_id").where("text is not null and session_id is not null").select("fact_id", "session_id", "user_id", tx.word_set(F.col("text")).alias("ws"))
+    scopes = F.array(F.struct(F.lit(True).alias("every"), F.lit("").alias("user")), F.struct(F.lit(False).alias("every"), F.col("user_id").alias("user")))
+    inside = ["session_id", "every", "user"]
+    scope = Window.partitionBy(*inside)
+    own = f.select("*", F.explode(scopes).alias("scope")).select("*", "scope.*").where("user is not null")
+    own = own.withColumn("n", F.row_number().over(scope.orderBy("fact_id"))).withColumn("block", F.floor((F.col("n") - 1) / FACTS)).withColumn("last", F.max("block").over(scope))
+    asking = own.where("every = (user_id is null)").select(*inside, "block", "fact_id", "n", "ws")
+    stored = own.select(*inside, F.explode(F.sequence("block", "last")).alias("block"), F.col("fact_id").alias("other_id"), F.col("n").alias("at"), F.col("ws").alias("other"))
+    met = asking.join(stored, [*inside, "block"]).where("at < n")
+    c = met.select(*inside, "block", "fact_id", "other_id", vec.jaccard(F.col("ws"), F.col("other")).alias("score"), (F.col("other_id") % 7 == 0).alias("superseded"))
+    r = F.row_number().over(Window.partitionBy(*inside, "block", "fact_id").orderBy(F.desc("score"), "other_id"))
+    c = c.withColumn("r", r).where("r <= 5").select("fact_id", "other_id", "score", "superseded")
     return cv.reconcile(c, f).withColumn("best", F.round("best", 6))
 
 
