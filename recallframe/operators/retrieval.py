@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from pyspark.sql.window import Window
 from recallframe.session import cut, spread
 
 BLOCK = 4096
+#: Share of the true neighbours that approximate searches set their probes for.
+WANTED = 0.95
 
 
 def _matrix(arrays: pd.Series) -> np.ndarray:
@@ -66,28 +70,76 @@ def related(ids: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top_k(corpus.join(ids, "id", "left_semi").select(F.col("id").alias("qid"), "vector"), corpus, k, same=True)
 
 
-def hyperplane_index(corpus: DataFrame, dim: int, tables: int = 8, bits: int = 8, seed: int = 5) -> DataFrame:
-    """id, vector, keys: one signature key per table."""
+def _learnt(corpus: DataFrame, k: int, reach: Callable[[np.ndarray, np.ndarray], np.ndarray], wanted: float, sample: int = 200) -> int:
+    """Probes by which the share ``wanted`` of true neighbours is reached.
+
+    ``sample`` stored rows ask for their k nearest exactly; ``reach`` gives the probe
+    at which each neighbour is met, of the asking rows' and the neighbours' vectors.
+    """
+    v = corpus.select("id", "vector")
+    asking = cut(v.orderBy(F.xxhash64("id"), "id").limit(sample))
+    pairs = top_k(asking.select(F.col("id").alias("qid"), "vector"), v, k, same=True).select("qid", "id")
+    both = pairs.join(asking.select(F.col("id").alias("qid"), F.col("vector").alias("vq")), "qid").join(v, "id").select("vq", "vector").toPandas()
+    return int(np.quantile(reach(_unit(_matrix(both["vq"])), _unit(_matrix(both["vector"]))), wanted, method="higher")) if len(both) else 1
+
+
+def _signatures(planes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row x table: the signature, and row x table x bit: the distance to the plane."""
+    d = np.einsum("tbd,nd->ntb", planes, v)
+    return ((d > 0) * (1 << np.arange(planes.shape[1]))).sum(axis=2), np.abs(d)
+
+
+def _flips(margins: np.ndarray) -> np.ndarray:
+    """Row x table x probe: the bits to flip, by the sum of their margins; the own signature first."""
+    bits = margins.shape[2]
+    masks = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+    return np.argsort(margins @ masks.T, axis=2, kind="stable")
+
+
+def hyperplane_index(corpus: DataFrame, dim: int, tables: int = 8, bits: int = 8, seed: int = 5) -> tuple[DataFrame, np.ndarray]:
+    """id, vector, keys (one signature key per table), and the planes."""
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
 
     def run(batches):
         for pdf in batches:
             v = _unit(_matrix(pdf["vector"])) if len(pdf) else np.zeros((0, dim))
-            signs = np.einsum("tbd,nd->ntb", planes, v) > 0
-            keys = (signs * (1 << np.arange(bits))).sum(axis=2) + np.arange(tables) * (1 << bits)
+            keys = _signatures(planes, v)[0] + np.arange(tables) * (1 << bits)
             yield pdf.assign(keys=list(keys.astype("int64")))
 
-    return spread(corpus.select("id", "vector")).mapInPandas(run, "id long, vector array<float>, keys array<long>")
+    return cut(spread(corpus.select("id", "vector")).mapInPandas(run, "id long, vector array<float>, keys array<long>")), planes
+
 
+def hyperplane_probes(index: DataFrame, planes: np.ndarray, k: int, wanted: float = WANTED) -> int:
+    """Signatures to probe per table, learnt on stored rows."""
 
-def hyperplane_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Approximate top-k: candidates share a key in some table, exact cosine ranks them."""
+    def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        own, margins = _signatures(planes, a)
+        differ = own ^ _signatures(planes, b)[0]
+        return (_flips(margins) == differ[:, :, None]).argmax(axis=2).min(axis=1) + 1
+
+    return _learnt(index, k, reach, wanted)
+
+
+def hyperplane_search(index: DataFrame, planes: np.ndarray, queries: DataFrame, k: int) -> DataFrame:
+    """Approximate top-k: candidates lie in a probed bucket of some table, exact cosine ranks them.
+
+    Probed are the own signature and those that differ from it in the bits of least
+    margin, as many as the learnt share of true neighbours needs.
+    """
     from recallframe.functions.vector import cosine
 
+    probes, (tables, bits, dim) = hyperplane_probes(index, planes, k), planes.shape
+
+    def near(batches):
+        for pdf in batches:
+            own, margins = _signatures(planes, _unit(_matrix(pdf["vector"])) if len(pdf) else np.zeros((0, dim)))
+            keys = (own[:, :, None] ^ _flips(margins)[:, :, :probes]) + (np.arange(tables) * (1 << bits))[:, None]
+            yield pdf[["qid"]].assign(keys=list(keys.reshape(len(pdf), tables * keys.shape[2]).astype("int64")))
+
     members = index.select("id", F.explode("keys").alias("key"))
-    asked = index.join(queries.select(F.col("qid").alias("id")), "id", "left_semi")
-    pairs = asked.select(F.col("id").alias("qid"), F.explode("keys").alias("key")).join(members, "key").where("qid <> id").select("qid", "id").distinct()
-    vq, vc = asked.select(F.col("id").alias("qid"), F.col("vector").alias("vq")), index.select("id", "vector")
+    probed = queries.select("qid", "vector").mapInPandas(near, "qid long, keys array<long>")
+    pairs = probed.select("qid", F.explode("keys").alias("key")).join(members, "key").where("qid <> id").select("qid", "id").distinct()
+    vq, vc = queries.select("qid", F.col("vector").alias("vq")), index.select("id", "vector")
     scored = pairs.join(vq, "qid").join(vc, "id").select("qid", "id", F.round(cosine(F.col("vq"), F.col("vector")), 6).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -249,7 +249,8 @@ def get_vectors(s, d):
 @query("ann_hyperplanes")
 def ann_hyperplanes(s, d):
     v = _vectors(s, d)
-    return retrieval.hyperplane_search(retrieval.hyperplane_index(v, 64), _asked(v), 10)
+    index, planes = retrieval.hyperplane_index(v, 64)
+    return retrieval.hyperplane_search(index, planes, _asked(v), 10)
 
 
 @query("ann_cells")

@@ -1,8 +1,11 @@
 """Queries that once did less than their whole job."""
 
 import pyarrow.parquet as pq
+import pytest
 
+from recallframe.operators import retrieval
 from recallframe.plans import memory_queries as mq
+from recallframe.plans import retrieval_queries as rq
 
 
 # ---------------------------------------------------------------- reconcile_tristate
@@ -44,3 +47,18 @@ def test_a_fact_meets_all_earlier_facts_of_its_session_and_user(spark, tmp_path,
 def test_reconcile_agrees_with_the_plain_model(spark):
     folder = "/root/testdata/sf0.01"
     assert reconciled(spark, folder) == plain_reconcile(folder)
+
+
+# ---------------------------------------------------------------- approximate searches
+def recall_of(spark, folder, found):
+    v = rq._vectors(spark, folder)
+    exact = retrieval.top_k(rq._asked(v), v.select("id", "vector"), 10, same=True)
+    return retrieval.recall(found, exact).first()["recall"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_hyperplanes_find_nine_of_ten_neighbours(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    share = recall_of(spark, folder, rq.ann_hyperplanes(spark, folder))
+    print(sf, "ann_hyperplanes", share)
+    assert share >= 0.9
