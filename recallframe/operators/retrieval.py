@@ -163,10 +163,16 @@ def cell_index(corpus: DataFrame, cells: int = 16, sample: int = 20_000, rounds:
     return cut(spread(corpus.select("id", "vector")).mapInPandas(run, "id long, vector array<float>, cell int")), centres
 
 
-def cell_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
-    """Approximate top-k in the ``probes`` nearest cells."""
+def cell_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 4, wanted: float = WANTED) -> DataFrame:
+    """Approximate top-k in the nearest cells: ``probes``, or more where the learnt share of true neighbours needs them."""
     from recallframe.functions.vector import cosine
 
+    def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        own = (b @ centres.T).argmax(axis=1)
+        return (np.argsort(-(a @ centres.T), axis=1) == own[:, None]).argmax(axis=1) + 1
+
+    probes = max(probes, _learnt(index, k, reach, wanted))
+
     def near(batches):
         for pdf in batches:
             order = np.argsort(-(_unit(_matrix(pdf["vector"])) @ centres.T), axis=1)[:, :probes] if len(pdf) else np.zeros((0, probes))

@@ -62,3 +62,12 @@ def test_hyperplanes_find_nine_of_ten_neighbours(spark, sf):
     share = recall_of(spark, folder, rq.ann_hyperplanes(spark, folder))
     print(sf, "ann_hyperplanes", share)
     assert share >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_cells_find_nine_of_ten_neighbours(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    share = rq.ann_recall(spark, folder).first()["recall"]
+    print(sf, "ann_recall", share)
+    assert share >= 0.9
+    assert recall_of(spark, folder, rq.ann_cells(spark, folder)) >= 0.9
