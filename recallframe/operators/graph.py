@@ -44,10 +44,10 @@ def smallest(df: DataFrame, n: int, *order: str) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_p").withColumn("_r", F.col("_o") + place).where(F.col("_r") <= n).drop("_p", "_o", "_r")
 
 
-def excess(edges: DataFrame, nodes: int, most: float = 20.0) -> DataFrame:
-    """The weakest edges beyond an average degree of ``most``."""
+def excess(edges: DataFrame, nodes: int, step: int, most: float = 20.0, grace: int = 2000) -> DataFrame:
+    """The weakest edges beyond an average degree of ``most``, among those past the grace period; all edges count."""
     n = max(0, edges.count() - int(most * nodes))
-    return smallest(edges, n, "strength", "source_id", "target_id")
+    return smallest(edges.where(F.lit(step) - F.col("creation_step") >= grace), n, "strength", "source_id", "target_id")
 
 
 def chains(edges: DataFrame, longest: int = 4) -> DataFrame:

@@ -14,7 +14,7 @@ from recallframe.operators import packing as pk
 from recallframe.operators import sequences as sq
 from recallframe.operators import store as st
 from recallframe.plans.retrieval_queries import once
-from recallframe.session import shared_path, table
+from recallframe.session import cut, shared_path, table
 from recallframe.sources import schemas
 from recallframe.streaming import jobs
 
@@ -534,9 +534,13 @@ def homeostatic_gain(s, d):
     return _nodes(s, d).select("id", F.round(gr.gain(F.col("activation"), F.lit(0.5), F.lit(1.0)), 6).alias("gain"))
 
 
-@query("excess_edges")
+@query("excess_edges", f"""WITH e AS (SELECT * FROM {_EDGES} WHERE NOT (20000 - creation_step >= 2000 AND strength < 0.0003 AND 20000 - last_active_step > 8000)),
+r AS (SELECT *, row_number() OVER (ORDER BY strength, source_id, target_id) AS r FROM e WHERE 20000 - creation_step >= 2000)
+SELECT source_id, target_id, strength FROM r WHERE r <= (SELECT count(*) FROM e) - 20 * (SELECT count(*) FROM {_NODES})""")
 def excess_edges(s, d):
-    return gr.excess(_edges(s, d), table(s, d, "customer").count(), 20.0).select("source_id", "target_id", "strength")
+    """After the sweep of ``prune_edges``, at the same step."""
+    left = cut(gr.prune(_edges(s, d), 20000, strength=0.0003, idle=8000))
+    return gr.excess(left, _nodes(s, d).count(), 20000, 20.0).select("source_id", "target_id", "strength")
 
 
 _STEPS = "(SELECT DISTINCT event_id AS source_id, lead(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS target_id FROM events)"

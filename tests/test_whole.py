@@ -3,9 +3,10 @@
 import pyarrow.parquet as pq
 import pytest
 
-from recallframe.operators import retrieval
+from recallframe.operators import graph, retrieval
 from recallframe.plans import memory_queries as mq
 from recallframe.plans import retrieval_queries as rq
+from tests.oracle import differences
 
 
 # ---------------------------------------------------------------- reconcile_tristate
@@ -71,3 +72,18 @@ def test_cells_find_nine_of_ten_neighbours(spark, sf):
     print(sf, "ann_recall", share)
     assert share >= 0.9
     assert recall_of(spark, folder, rq.ann_cells(spark, folder)) >= 0.9
+
+
+# ---------------------------------------------------------------- excess_edges
+def test_excess_spares_young_edges_but_counts_them(spark):
+    rows = [(1, 2, 0.1, 90), (1, 3, 0.2, 10), (2, 3, 0.3, 10), (3, 1, 0.4, 10), (2, 1, 0.5, 95)]
+    edges = spark.createDataFrame(rows, "source_id long, target_id long, strength double, creation_step long")
+    found = graph.excess(edges, 3, 100, most=1.0, grace=20).collect()
+    assert sorted((r["source_id"], r["target_id"]) for r in found) == [(1, 3), (2, 3)]
+
+
+def test_excess_edges_agree_with_sql(spark):
+    folder = "/root/testdata/sf0.1"
+    left, right = differences(spark, "excess_edges", mq.excess_edges, mq.SQL["excess_edges"], folder)
+    assert not left and not right, (list(left)[:3], list(right)[:3])
+    assert mq.excess_edges(spark, folder).count() == 45165
