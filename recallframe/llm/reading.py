@@ -10,8 +10,10 @@ counts are taken out of the grades first.
 
 Upper case, list marks, headings, line breaks and missing full stops play no part;
 fenced code is left out.  Null or short texts, logs and texts in other languages
-give no row.  A text counts as written in one of the languages if ``KNOWN`` of its
-words are known from the rated texts and most letters are Latin.
+give no row.  A text counts as written in one of the languages if most letters are Latin
+and ``SPOKEN`` of its words are function words of that language, more than of any other
+language listed, or if ``KNOWN`` of its words are known from the rated texts.  Without
+any known word it gets the level of average features.
 """
 
 from __future__ import annotations
@@ -31,6 +33,26 @@ from recallframe.session import cut, spread
 LEVELS, LEAST_RUNS, KNOWN, LEAST_DOCS = 4, 40, 0.25, 2
 MOST_WORDS, MOST_RATED, FLAT = 200_000, 20_000, 0.05
 QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
+#: Function words; those of other languages with Latin letters only tell the four from them.
+LANGUAGES, SPOKEN = ("en", "de", "fr", "es"), 0.08
+FUNCTION = {lang: frozenset(own.split()) for lang, own in {
+    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which you were their been has will would who when there what so if no out up into than them can only other its then these may any such because although while however whether",
+    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich wir ihr innerhalb unter sowie beziehungsweise gegen zwischen ohne jedoch weil während sondern doch wohingegen",
+    "fr": "le la les de des du et un une en à est que qui dans pour par sur au aux avec ne pas se ce il elle plus sont ou son sa ses cette ces mais comme nous vous leur été être ont dont où lui sans entre si tout d l qu n s c j je",
+    "es": "el la los las de del y un una en a es que por para con no se su sus al lo como más pero o ha son este esta sin sobre también entre cuando muy hasta desde hay donde porque le les ya fue ser mientras si me mi yo",
+    "pt": "o a os as de do da dos das e um uma em no na nos nas é que por para com não se seu sua ao à como mais mas ou são este esta sem sobre também entre quando muito até desde há onde porque pelo pela foi ser eu",
+    "it": "il lo la i gli le di del della dei delle e un una in nel nella è che per con non si su al alla come più ma o sono questo questa senza tra anche quando molto fino da dal dalla dove perché suo sua ha ed io",
+    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij of uit nog naar heeft ze hij door over ze wordt worden werd deze dit tot je ik wij geen zich",
+    "ca": "el la els les de del dels i un una en a és que per amb no es seu seva al als com més però o són aquest aquesta sense sobre també entre quan molt fins des hi on perquè ha",
+    "sv": "och i att det som en på är av för med den till inte har de ett om var han men sig så från vi kan hon när eller under också efter jag",
+    "da": "og i at det som en på er af for med den til ikke har de et om var han men sig så fra vi kan hun når eller under også efter jeg",
+    "pl": "i w na z do nie się że o jest to jak po ale za od przez co tak czy dla są już tylko przed który która oraz",
+    "ro": "și în de la a cu pe nu că este un o din care pentru mai sau dar ca să au fost prin sunt după al ale",
+    "la": "et in est non ad ut cum sed qui quae quod ex per ab si aut esse sunt atque enim de ac",
+    "tr": "ve bir bu için ile da de çok ne gibi daha o ama olarak olan kadar sonra en var ki mi",
+    "fi": "ja on ei se että hän oli mutta ovat joka niin kun kuin myös tai sen ole",
+    "hu": "a az és hogy nem is egy ez meg csak de van mint már még volt ha vagy el",
+}.items()}
 RUN = regex.compile(r"\p{L}+")
 LATIN, LETTER = regex.compile(r"\p{Latin}"), regex.compile(r"\p{L}")
 FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.S)
@@ -50,6 +72,13 @@ def runs(text: str) -> list[str]:
     return [w for own in sentences(text) for w in own]
 
 
+def spoken(words: list[str]) -> bool:
+    """Whether function words tell one of the four languages."""
+    shares = {lang: sum(w in own for w in words) for lang, own in FUNCTION.items()}
+    ours = max(shares[lang] for lang in LANGUAGES)
+    return ours >= SPOKEN * max(1, len(words)) and ours > max(n for lang, n in shares.items() if lang not in LANGUAGES)
+
+
 class Grades:
     """Words' counts by level, and from them their acquisition grades and how much they say."""
 
@@ -187,10 +216,11 @@ def levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     continue
                 if 2 * len(LATIN.findall(text)) < len(LETTER.findall(text)):
                     continue
-                x, known = grades.value.features(sentences(text))
-                if known >= KNOWN and np.isfinite(x).all():
+                parts = sentences(text)
+                x, known = grades.value.features(parts)
+                if model.value.w.any() and (known >= KNOWN or spoken([w for own in parts for w in own])):
                     ids.append(doc)
-                    f.append(x)
+                    f.append(x if np.isfinite(x).all() else model.value.mean)
             yield pd.DataFrame({"doc_id": ids, "level": model.value.levels(np.array(f)) if ids else []}).astype({"doc_id": "int64", "level": "int64"})
 
     prose = docs.where(F.col("text").isNotNull() & ((F.col("doc_type") != "log") | F.col("doc_type").isNull())).select("doc_id", "text")
