@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,15 @@ def similarity(a: Column, b: Column) -> Column:
     return jaccard(a, b, both_empty=1.0)
 
 
+def _give_up(strength: float):
+    def give_up(own: Column, other: Column) -> Column:
+        shared = F.array_sort(F.array_intersect(own, other))
+        n = F.floor(F.lit(strength) * F.size(shared)).cast("int")
+        return F.when(n > 0, F.array_except(own, F.slice(shared, 1, n))).otherwise(own)
+
+    return give_up
+
+
 def separate(codes: Column, strength: float = 0.3) -> Column:
     """Each code in order gives up the first part of what it shares with each later one.
 
@@ -46,12 +57,29 @@ def separate(codes: Column, strength: float = 0.3) -> Column:
 
     def one(code: Column, i: Column) -> Column:
         later = F.slice(codes, i + 2, F.greatest(F.size(codes) - i - 1, F.lit(0)))
+        return F.aggregate(later, code, _give_up(strength))
+
+    return F.transform(codes, one)
 
-        def give_up(own: Column, other: Column) -> Column:
-            shared = F.array_sort(F.array_intersect(own, other))
-            n = F.floor(F.lit(strength) * F.size(shared)).cast("int")
-            return F.when(n > 0, F.array_except(own, F.slice(shared, 1, n))).otherwise(own)
 
-        return F.aggregate(later, code, give_up)
+def separate_rows(codes: DataFrame, strength: float = 0.3) -> DataFrame:
+    """``separate`` over whole groups of ``g, place, code`` (ascending codes), without gathering a group.
 
-    return F.transform(codes, one)
+    A code gives up nothing to one with which it shares fewer than ``least`` dimensions,
+    so it folds over the later codes of its group that have an equal part of that size.
+    """
+    if strength <= 0:
+        return codes
+    least = next(n for n in range(1, 1 << 16) if int(strength * n) > 0)
+
+    def parts(batches):
+        for pdf in batches:
+            keys = [[",".join(map(str, c)) for c in combinations(sorted(code), least)] for code in pdf["code"]]
+            yield pdf.assign(part=keys).explode("part").dropna(subset=["part"])
+
+    keyed = codes.mapInPandas(parts, "g long, place long, code array<int>, part string").where("part is not null")
+    later = keyed.select("g", "part", F.col("place").alias("at"), F.col("code").alias("other"))
+    pairs = keyed.select("g", "part", "place").join(later, ["g", "part"]).where("at > place").select("g", "place", "at", "other").distinct()
+    met = pairs.groupBy("g", "place").agg(F.array_sort(F.collect_list(F.struct("at", "other"))).alias("later"))
+    others = F.coalesce(F.transform("later", lambda x: x["other"]), F.array().cast("array<array<int>>"))
+    return codes.join(met, ["g", "place"], "left").select("g", "place", F.aggregate(others, F.col("code"), _give_up(strength)).alias("code"))

@@ -11,7 +11,7 @@ from recallframe.functions import vector as vec
 from recallframe.functions import where as wh
 from recallframe.operators import fusion, lexical, retrieval, sparse
 from recallframe.plans.planner import Retriever
-from recallframe.session import table
+from recallframe.session import cut, table
 from recallframe.sources import chunker, importers
 
 QUERIES: dict = {}
@@ -436,9 +436,10 @@ def code_similarity(s, d):
 
 @query("pattern_separate")
 def pattern_separate(s, d):
-    own = table(s, d, "embeddings").select("vec_id", F.expr("vec_id div 8").alias("g"), sparse.winners(F.col("embedding"), 8).alias("code"))
-    packs = own.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "code"))), lambda x: x["code"]).alias("codes"))  # eight each
-    return packs.select("g", F.posexplode(sparse.separate(F.col("codes"))).alias("place", "code"))
+    """Within a label, in order of vec_id."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    own = table(s, d, "embeddings").select(F.col("label").cast("long").alias("g"), place.cast("long").alias("place"), sparse.winners(F.col("embedding"), 8).alias("code"))
+    return sparse.separate_rows(cut(own))
 
 
 @query("projected_codes")

@@ -2,9 +2,10 @@
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from recallframe.llm import reading
-from recallframe.operators import graph, retrieval
+from recallframe.operators import graph, retrieval, sparse
 from recallframe.plans import memory_queries as mq
 from recallframe.plans import retrieval_queries as rq
 from tests.oracle import differences
@@ -114,3 +115,14 @@ def test_no_dense_document_is_lost(spark):
     german = {r["doc_id"] for r in docs.where("lang = 'de' and doc_type <> 'log' and text is not null").collect() if len(reading.RUN.findall(r["text"])) >= reading.LEAST_RUNS}
     got = {r["doc_id"] for r in reading.levels(docs, labels).collect()}
     assert not german - got
+
+
+# ---------------------------------------------------------------- pattern_separate
+def test_patterns_are_separated_over_whole_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    own = spark.read.parquet(f"{folder}/embeddings.parquet").select("label", "vec_id", sparse.winners(F.col("embedding"), 8).alias("code"))
+    whole = own.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "code"))), lambda x: x["code"]).alias("codes"))
+    want = {(r["label"], i): code for r in whole.select("label", sparse.separate(F.col("codes")).alias("codes")).collect() for i, code in enumerate(r["codes"])}
+    found = {(r["g"], r["place"]): r["code"] for r in rq.pattern_separate(spark, folder).collect()}
+    assert found == want and len(found) == own.count()
+    assert sum(len(code) for code in found.values()) < 8 * len(found)
