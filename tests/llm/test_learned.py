@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,26 @@ def test_a_refusal_is_right_when_nothing_was_given(spark):
     assert 9001 not in got and got[9002] == "empty"
 
 
+def test_refusals_are_told_by_what_they_say(spark):
+    """Wordings that no part of the training sentences contains as a whole."""
+    df, _ = _pairs(spark)
+    unseen = ["I honestly don't know that one.", "Sorry, my notes say nothing about this.", "That was never mentioned to me, so I can't say.", "I'm not able to help you here.", "None of the records mention it."]
+    answers = ["You bought 12 plants for the balcony, not 13.", "You never told anyone, but it was 7.", "No more than 9, mostly herbs."]
+    rows = [("u", i, "f", "How many plants did I buy in Tigara?", t, "12", True) for i, t in enumerate(unseen + answers)]
+    got = {r["row_id"]: r["defect"] for r in replies.defects(df.drop("defect").unionByName(spark.createDataFrame(rows, df.drop("defect").schema))).where("src = 'u'").collect()}
+    assert sum(got.get(i) == "refusal" for i in range(len(unseen))) >= 4
+    assert not any(got.get(len(unseen) + i) == "refusal" for i in range(len(answers)))
+
+
+def test_training_wording_is_not_taken_from_the_tables():
+    """No refusal or carrier that the training puts together stands word for word in a table's reply."""
+    rng, con = np.random.default_rng(1), duckdb.connect()
+    held = con.sql(f"select lower(hypothesis) t from '{DATA}/qa_compare.parquet' where hypothesis is not null union select lower(hyp_blank) from '{DATA}/developmental_test.parquet' where hyp_blank is not null").fetchall()
+    said = "\n".join(t for (t,) in held)
+    made = {replies._composed(parts, rng).strip(" .").lower() for parts in replies.REFUSAL_PARTS.values() for _ in range(300)}
+    assert len(made) > 300 and not [m for m in made if len(m.split()) > 2 and m in said]
+
+
 def test_no_pairs(spark):
     df, _ = _pairs(spark)
     assert replies.defects(df.drop("defect").limit(0)).count() == 0
