@@ -60,6 +60,32 @@ def test_redaction_leaves_the_rest(finder):
     assert finder.find([None]) == [[]]
 
 
+def test_skip_edges_carry_a_label_to_a_mention_without_caption(finder, monkeypatch):
+    texts = ["My passport number is 913-23-5843. " + "The rest of the page is about birds and trees. " * 3 + "Nobody asked why 913235843 stood there again.", "Reach Anna Hovescu first. " + "Then the birds came to the lake and stayed. " * 3 + "In the end ANNA HOVESCU agreed."]
+    joined = [pii.redact(t, own) for t, own in zip(texts, finder.find(texts))]
+    assert joined[0].count("[ID_NUMBER]") == 2 and joined[1].count("[NAME]") == 2
+    monkeypatch.setattr(pii, "ROUNDS", 0)
+    alone = pii.redact(texts[0], finder.find(texts)[0])
+    assert alone.count("[ID_NUMBER]") == 1
+
+
+def test_the_field_rejects_shapes(finder):
+    """Shapes of every kind are proposed, and the field turns some down."""
+    texts = ["Anna Monday was late", "a 20 minutes walk to the shop", "ratio 584.75/584.75 on it", "On 3 Wolmer, Anna sees it"]
+    assert any(pii.candidates(t, finder.lex) for t in texts)
+    assert finder.find(texts) == [[], [], [], []]
+
+
+def test_rare_names_are_found_at_any_size(spark):
+    """A family name seen twice in many texts is in the lexicon, however many other names there are."""
+    given = spark.createDataFrame([("Anna",), ("Peter",)], "given_name string")
+    others = [f"{a}{b}{c}{d}" for a in ("Bel", "Tar", "Sel", "Hov") for b in "aeiou" for c in ("l", "m", "n", "r", "s") for d in ("dorf", "sten", "low", "mond", "escu")]
+    rows = [("s", i, f"we saw Anna {n} by the lake and Peter {n} too") for i, n in enumerate(others)]
+    rows += [("s", 9001, "then we met Anna Zyxqvu there"), ("s", 9002, "and again Peter Zyxqvu at ten"), ("s", 9003, "ask A. Zyxqvu about it")]
+    got = {(r["row_id"], r["value"]) for r in pii.find_items(spark.createDataFrame(rows, "src string, row_id long, text string"), given).where("row_id > 9000").collect()}
+    assert {(9001, "annazyxqvu"), (9002, "peterzyxqvu"), (9003, "azyxqvu")} <= got
+
+
 def test_long_text(finder):
     text = "the cat sees the hat. " * 20000 + "Call me on 020 7946 0156 after six."
     assert [k for *_, k, _ in finder.find([text])[0]] == ["phone"]
@@ -140,6 +166,13 @@ def test_training_wording_is_not_taken_from_the_tables():
     assert len(made) > 300 and not [m for m in made if len(m.split()) > 2 and m in said]
 
 
+def test_carriers_are_not_taken_from_the_tables():
+    con = duckdb.connect()
+    held = "\n".join(t for (t,) in con.sql(f"select lower(text) from '{DATA}/store_requests.parquet' where text is not null union select lower(text) from '{DATA}/extracted_facts.parquet' where text is not null").fetchall())
+    carriers = [b for by_lang in pii.BEFORE.values() for own in by_lang.values() for b in own if len(b.split()) > 1]
+    assert not [b for b in carriers if b.strip().lower() in held]
+
+
 def test_no_pairs(spark):
     df, _ = _pairs(spark)
     assert replies.defects(df.drop("defect").limit(0)).count() == 0
