@@ -7,15 +7,16 @@ most ``a + b - 2 * ceil(4 (a + b) / 9)``.  The pivots are fixed: the empty set
 The table stores every accepted or seen text with its distances, and by the
 triangle inequality two texts whose distances to any pivot differ by more than
 the bound are no match.  The join is partitioned by ranges of the distance to the
-empty set (size bands, in all combinations that the bound allows).
+empty set: sizes of one range match sizes of the same and the two next ranges only.
 
 Distances to fixed pivots concentrate: sentences of one mould differ in two words
-and lie equally far from every pivot.  Inside a pair of size bands the join
-therefore also needs an equal key, one of the rarest words of both sets; with
-distance d two sets of sizes a and b must share one of their a - o + 1 and
-b - o + 1 rarest words (o the least overlap), so no match is lost.  A key that is
-itself frequent is split by a second rare word, again without loss.  Whatever
-remains is verified by the true distance.
+and lie equally far from every pivot.  Inside a range the join therefore also needs
+an equal key, one of the rarest words of both sets: with least overlap o two sets of
+sizes a and b share one of their a - o + 1 and b - o + 1 rarest words, two among one
+word more, and three among two more, so no match is lost.  Keys that many texts hold
+are split by a second, then by a third word.  Whatever remains is verified by the
+true distance.  ``head`` in the table holds these rarest words, so keys are made
+once, when a text is described, and by the JVM from then on.
 
 A text is a case if an accepted earlier text is a match; texts with the same word
 set as an earlier one always are.  Null, blank and wordless texts are no cases
@@ -33,17 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallframe.llm.words import words
-from recallframe.session import cut, spread
+from recallframe.session import cut, spread, written
 
-PIVOTS, COMMON_FROM, MOST_COMMON, HOT_FROM, MOST_HOT = 32, 50, 300_000, 400, 300_000
-BANDS = [0, *range(1, 17)]
-while BANDS[-1] < 1 << 40:
-    BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.07)))
-_BANDS = np.array(BANDS)
+PIVOTS, HOT_FROM, SMALLEST = 32, 400, 4  # two different sets of fewer than four words are never a match
+#: A word's place in the order of rarity comes from its count where it is in this share of the texts, else from its hash.
+COMMON_SHARE, COMMON_FROM = 1 / 100_000, 50
+BUCKETS = 16
 TABLE = "src string, item_id long, pos long, n int, h1 long, h2 long, dist0 long, dist1 long, words array<long>"
+KEY = ["src", "item_id", "pos"]
+BAND = "cast(floor(ln(n + 0.5) / ln(1.25)) as int)"  # two sizes that may match lie in the same or in neighbouring ranges
 
+TEXT_BUCKET = f"cast(pmod(xxhash64(h1), {BUCKETS}) as int)"
 
-def least_overlap(a: int, b: int) -> int:
+
+def _bucket(word):
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def least_overlap(a, b):
     return -(-4 * (a + b) // 9)
 
 
@@ -69,81 +77,89 @@ def describe(texts: DataFrame) -> DataFrame:
     return spread(texts.select("src", "item_id", "pos", "text")).mapInPandas(run, TABLE)
 
 
-def _key(*parts: int) -> int:
-    return xxhash.xxh64_intdigest(np.array(parts, dtype=np.int64).tobytes()) - (1 << 63)
-
-
-def _keys(table: DataFrame, rank: dict[int, int], hot: dict[int, bool] | None = None) -> DataFrame:
-    """``key`` and the row's name, size and distances, once per key of the row."""
-    shared = table.sparkSession.sparkContext.broadcast((rank, hot or {}))
-
-    def of(own: list[int]) -> Iterator[int]:
-        order, refine = shared.value
-        n = len(own)
-        own = sorted(own, key=lambda w: (order.get(w, 0), w))
-        band = int(np.searchsorted(_BANDS, n, side="right")) - 1
-        b_lo = int(np.searchsorted(_BANDS, -(-4 * n // 5), side="right")) - 1
-        b_hi = int(np.searchsorted(_BANDS, 5 * n // 4, side="right")) - 1
-        for other in range(b_lo, b_hi + 1):
-            overlap = least_overlap(n, max(int(_BANDS[other]), -(-4 * n // 5)))
-            for at, w in enumerate(own[: n - overlap + 1]):
-                key = _key(w, min(band, other), max(band, other))
-                if key in refine and overlap > 1:
-                    for at2, v in enumerate(own[: n - overlap + 2]):
-                        if at2 != at:
-                            yield _key(key, v)
-                else:
-                    yield key
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                keys = [sorted(set(of(w.tolist()))) for w in part["words"]]
-                reps = [len(x) for x in keys]
-                out = part[["src", "item_id", "pos", "n", "dist0", "dist1"]].loc[part.index.repeat(reps)]
-                yield out.assign(key=[k for x in keys for k in x])
-
-    return table.select("src", "item_id", "pos", "n", "dist0", "dist1", "words").mapInPandas(run, "src string, item_id long, pos long, n int, dist0 long, dist1 long, key long")
-
+def word_order(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words in a fixed share of all texts, sorted, with their counts; any order keeps the join exact, this one keeps it short."""
+    total = table.count()
+    counts = table.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") >= max(COMMON_FROM, int(total * COMMON_SHARE))).toPandas()
+    w = counts["w"].to_numpy(dtype=np.int64)
+    order = np.argsort(w)
+    return w[order], counts["c"].to_numpy(dtype=np.int64)[order]
 
-def _bounded(counts: DataFrame, least: int, most: int) -> dict[int, int]:
-    """Values counted at least ``least`` times; the floor doubles until ``most`` suffice."""
-    while counts.where(F.col("c") >= least).count() > most:
-        least *= 2
-    return {v: c for v, c in counts.where(F.col("c") >= least).collect()}
 
+def with_heads(table: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The table with ``band``, ``reach`` (words of which a match shares one) and ``head``, these and the two next rarest."""
+    shared = table.sparkSession.sparkContext.broadcast(order)
 
-def word_order(table: DataFrame) -> dict[int, int]:
-    """Text frequency of the frequent words; any order keeps the join exact, this one keeps it short."""
-    counts = table.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    return _bounded(cut(counts.where(F.col("c") >= COMMON_FROM)), COMMON_FROM, MOST_COMMON)
-
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = shared.value
+        for pdf in batches:
+            size = pdf["n"].to_numpy(dtype=np.int64)
+            flat = np.concatenate(pdf["words"].to_list()) if len(pdf) else np.zeros(0, dtype=np.int64)
+            row = np.repeat(np.arange(len(pdf)), size)
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            often = np.where(known[at] == flat, counts[at], 0) if len(known) else np.zeros(len(flat), dtype=np.int64)
+            flat = flat[np.lexsort((flat, often, row))]
+            first = np.cumsum(size) - size
+            reach = size - least_overlap(size, -(-4 * size // 5)) + 1
+            heads = [flat[i : i + k + 2] for i, k in zip(first, np.minimum(reach, size))]
+            yield pdf.assign(reach=reach.astype("int32"), head=heads)
+
+    kept = table.where(f"n >= {SMALLEST}")
+    return kept.mapInPandas(run, f"{TABLE}, reach int, head array<long>").withColumn("band", F.expr(BAND))
+
+
+def keys_of(table: DataFrame) -> DataFrame:
+    """``key`` (the words of the key in order) and the row's id, size and distances, once per key of the row."""
+    own = table.select(*KEY, "n", "dist0", "dist1", F.expr(TEXT_BUCKET).alias("tb"), "band", "reach", "head", F.explode(F.slice("head", F.lit(1), F.col("reach"))).alias("w"))
+    return own.withColumn("key", F.array("w")).drop("w")
+
+
+def split(keys: DataFrame, hot: DataFrame, level: int) -> DataFrame:
+    """Rows of the keys in ``hot`` once per further rare word, all others as they are."""
+    further = F.explode(F.array_except(F.slice("head", F.lit(1), F.col("reach") + (level - 1)), "key"))
+    more = keys.join(hot, ["key", "src"], "left_semi").select("*", further.alias("w")).withColumn("key", F.array_sort(F.array_append("key", F.col("w")))).drop("w")
+    return keys.join(hot, ["key", "src"], "left_anti").unionByName(more.distinct())
+
+
+def refined(*sides: DataFrame) -> list[DataFrame]:
+    """The sides' keys, those that more than ``HOT_FROM`` rows of one range hold split on all sides alike, twice at most."""
+    for level in (2, 3):
+        every = sides[0].select("key", "band", "src")
+        for side in sides[1:]:
+            every = every.unionByName(side.select("key", "band", "src"))
+        hot = cut(every.groupBy("key", "band", "src").agg(F.count("*").alias("c")).where(F.col("c") > HOT_FROM).select("key", "src").distinct())
+        if hot.isEmpty():
+            break
+        sides = tuple(split(side, hot, level) for side in sides)
+    return list(sides)
+
+
+def nearby(keys: DataFrame) -> DataFrame:
+    """The rows in their own range and in the two next to it."""
+    return keys.withColumn("band", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))))
+
+
+def joined(old: DataFrame, new: DataFrame, ordered: bool) -> DataFrame:
+    """``src, a, b`` and the ranges of pairs with an equal key whose distances to no pivot rule a match out."""
+    side = lambda df, x: df.select("key", "band", "src", "tb", F.struct("item_id", "pos").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(f"dist{i}").alias(f"d{i}_{x}") for i in (0, 1)))
+    pivots = " + ".join(f"abs((shiftrightunsigned(d{h}_a, {4 * i}) & 15) - (shiftrightunsigned(d{h}_b, {4 * i}) & 15))" for h in (0, 1) for i in range(PIVOTS // 2))
+    bound = "n_a + n_b - 2 * cast(ceil((4 * (n_a + n_b)) / 9D - 1e-9) as int)"
+    order = "a < b and " if ordered else ""
+    met = side(old, "a").join(side(nearby(new), "b").drop("tb"), ["key", "band", "src"])
+    return met.where(f"{order}5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and {pivots} <= {bound}").select("src", "a", "b", F.col("band").alias("band_a"), F.col("tb").alias("tb_a")).distinct()
 
-def matches(table: DataFrame, other: DataFrame | None = None, rank: dict[int, int] | None = None) -> DataFrame:
-    """``src, a, b``: (item_id, pos) of an earlier and a later text of similarity 0.8 or more.
 
-    With ``other`` (history), pairs of a history row and a row of ``table``.
-    """
-    rank = word_order(table) if rank is None else rank
-    both = table if other is None else table.unionByName(other)
-    counts = _keys(both, rank).groupBy("key").agg(F.count("*").alias("c"))
-    hot = _bounded(cut(counts.where(F.col("c") >= HOT_FROM)), HOT_FROM, MOST_HOT)
+def verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs whose true distance makes them a match."""
+    sets = lambda df, n: df.select("src", F.struct("item_id", "pos").alias(n), F.col("words").alias(f"w_{n}"))
+    both = pairs.select("src", "a", "b").join(sets(old, "a"), ["src", "a"]).join(sets(new, "b"), ["src", "b"])
+    return both.where("9 * size(array_intersect(w_a, w_b)) >= 4 * (size(w_a) + size(w_b))").select("src", "a", "b")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return _keys(df, rank, hot).select("key", "src", F.struct("item_id", "pos").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(f"dist{i}").alias(f"d{i}_{name}") for i in (0, 1)))
 
-    left, right = side(table if other is None else other, "a"), side(table, "b")
-    pivots = " + ".join(f"abs((shiftrightunsigned(d{h}_a, {4 * i}) & 15) - (shiftrightunsigned(d{h}_b, {4 * i}) & 15))" for h in (0, 1) for i in range(PIVOTS // 2))
-    bound = "n_a + n_b - 2 * cast(ceil((4 * (n_a + n_b)) / 9D - 1e-9) as int)"
-    order = "a < b" if other is None else "true"
-    pairs = left.join(right, ["key", "src"]).where(f"{order} and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and {pivots} <= {bound}").select("src", "a", "b").distinct()
-    sets = lambda df, n: df.select("src", F.struct("item_id", "pos").alias(n), F.col("words").alias(f"w_{n}"))
-    return (
-        pairs.join(sets(table if other is None else other, "a"), ["src", "a"]).join(sets(table, "b"), ["src", "b"])
-        .where("9 * size(array_intersect(w_a, w_b)) >= 4 * (size(w_a) + size(w_b))")
-        .select("src", "a", "b")
-    )
+def matches(table: DataFrame) -> DataFrame:
+    """``src, a, b``: (item_id, pos) of an earlier and a later text of similarity 0.8 or more, of a table with heads."""
+    keys = written(refined(keys_of(table))[0].drop("reach", "head"))
+    return verified(joined(keys, keys, True), table, table)
 
 
 def settle(links: DataFrame) -> DataFrame:
@@ -167,47 +183,79 @@ def repeats(texts: DataFrame) -> DataFrame:
     """``src, item_id, pos`` of every case among ``src, item_id, pos, text`` (unique keys)."""
     table = cut(describe(texts))
     o = F.struct("item_id", "pos")
-    first = table.groupBy("src", "h1", "h2").agg(F.min(o).alias("o")).select("src", "o.item_id", "o.pos")
-    first = cut(first)
-    key = ["src", "item_id", "pos"]
-    copies = table.select(*key).join(first, key, "left_anti")
-    distinct = cut(table.join(first, key, "left_semi"))
-    near = settle(matches(distinct)).select("src", "b.item_id", "b.pos")
+    first = cut(table.groupBy("src", "h1", "h2").agg(F.min(o).alias("o")).select("src", "o.item_id", "o.pos"))
+    copies = table.select(*KEY).join(first, KEY, "left_anti")
+    distinct = table.join(first, KEY, "left_semi")
+    near = settle(matches(written(with_heads(distinct, word_order(distinct))))).select("src", "b.item_id", "b.pos")
     return copies.unionByName(near)
 
 
 class History:
     """The stored table of accepted texts for batch-wise work: check, then append.
 
-    The word order is frozen with the first batch, so stored keys stay valid.
+    Under ``path`` lie the order of words (frozen with the first batch, so that stored
+    keys stay valid), the accepted texts, and their keys, both by range of the distance
+    to the empty set and by bucket of the key (or id).  A batch reads the keys of its
+    own ranges and buckets, and the texts of the buckets in which candidates lie; stored
+    keys are never made again.  Keys stay words; one that grows hot is split while it is
+    joined, from the stored heads.
     """
 
     def __init__(self, spark, path: str):
-        self.spark, self.path, self.rank = spark, path, None
-
-    def _stored(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(TABLE).parquet(self.path)
-        except Exception:  # noqa: BLE001 - no batch accepted yet
-            return self.spark.createDataFrame([], TABLE)
+        self.spark, self.path = spark, path
+
+    def _exists(self, part: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def _order(self, new: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if not self._exists("order"):
+            w, c = word_order(new)
+            self.spark.createDataFrame(pd.DataFrame({"w": w, "c": c}), "w long, c long").write.parquet(f"{self.path}/order")
+            return w, c
+        held = self.spark.read.parquet(f"{self.path}/order").orderBy("w").toPandas()
+        return held["w"].to_numpy(dtype=np.int64), held["c"].to_numpy(dtype=np.int64)
+
+    def _read(self, part: str, schema: str, places: DataFrame) -> DataFrame:
+        """Stored rows of some (band, bucket); the places are as few as there are ranges and buckets."""
+        wanted = places.distinct().groupBy("band").agg(F.collect_list("bucket").alias("buckets")).collect()
+        if not wanted or not self._exists(part):
+            return self.spark.createDataFrame([], schema)
+        held = self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+        some = F.lit(False)
+        for r in wanted:
+            some = some | ((F.col("band") == r["band"]) & F.col("bucket").isin(sorted(r["buckets"])))
+        return held.where(some)
+
+    _KEYS = "src string, item_id long, pos long, n int, dist0 long, dist1 long, tb int, reach int, head array<long>, w long, band int, bucket int"
+    _TEXTS = f"{TABLE}, band int, bucket int"
 
     def check_and_append(self, batch: DataFrame) -> DataFrame:
         """Cases of the batch; all others are appended to the table."""
-        new = cut(describe(batch))
-        if self.rank is None:
-            self.rank = word_order(new)
-        sizes = new.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
-        if sizes["lo"] is None:
-            return new.select("src", "item_id", "pos")
-        # the range of distances to the empty set that can match: the scan skips all other row groups
-        old = self._stored().where(f"n >= {-(-4 * sizes['lo'] // 5)} and n <= {5 * sizes['hi'] // 4}")
-        against = matches(new, old, self.rank).select("src", "b").distinct()
-        key = ["src", "item_id", "pos"]
-        known = cut(against.select("src", "b.item_id", "b.pos"))
-        fresh = cut(new.join(known, key, "left_anti"))
-        first = fresh.groupBy("src", "h1", "h2").agg(F.min(F.struct("item_id", "pos")).alias("o")).select("src", "o.item_id", "o.pos")
-        distinct = cut(fresh.join(first, key, "left_semi"))
-        inside = settle(matches(distinct, rank=self.rank)).select("src", "b.item_id", "b.pos")
-        accepted = cut(distinct.join(inside, key, "left_anti"))
-        accepted.sortWithinPartitions("n").write.mode("append").parquet(self.path)
-        return new.select(*key).join(accepted.select(*key), key, "left_anti")
+        described = cut(describe(batch))
+        order = self._order(described)
+        first = described.groupBy("src", "h1", "h2").agg(F.min(F.struct("item_id", "pos")).alias("o")).select("src", "o.item_id", "o.pos")
+        once = cut(described.join(first, KEY, "left_semi").withColumn("band", F.expr(BAND)).withColumn("bucket", F.expr(TEXT_BUCKET)))
+        # equal word sets of the history, of any size, then near ones
+        same = self._read("texts", self._TEXTS, once.select("band", "bucket")).select("src", "h1", "h2").distinct()
+        copies = cut(once.join(same, ["src", "h1", "h2"], "left_semi").select(*KEY))
+        fresh = written(with_heads(once.drop("band", "bucket").join(copies, KEY, "left_anti"), order))
+        new_keys = keys_of(fresh)
+        stored = self._read("keys", self._KEYS, nearby(new_keys).select("band", _bucket(F.col("key")[0]).alias("bucket")))
+        asked = new_keys.select(F.col("key")[0].alias("w"), "src").distinct()
+        old_keys = cut(stored.join(asked, ["w", "src"], "left_semi").withColumn("key", F.array("w")).drop("w", "bucket"))
+        old_keys, new_keys = refined(old_keys, new_keys)
+        pairs = cut(joined(old_keys, new_keys, False))
+        texts = self._read("texts", self._TEXTS, pairs.select(F.col("band_a").alias("band"), F.col("tb_a").alias("bucket")))
+        known = cut(verified(pairs, texts, fresh).select("src", "b.item_id", "b.pos").distinct())
+        left = written(fresh.join(known, KEY, "left_anti"))
+        inside = settle(matches(left)).select("src", "b.item_id", "b.pos")
+        small = once.where(f"n < {SMALLEST}").join(copies, KEY, "left_anti").select(*KEY)
+        accepted = cut(left.select(*KEY).join(inside, KEY, "left_anti").unionByName(small))
+        self._append("texts", once.join(accepted, KEY, "left_semi"))
+        keys = keys_of(left.join(accepted, KEY, "left_semi")).withColumn("w", F.col("key")[0]).drop("key")
+        self._append("keys", keys.withColumn("bucket", _bucket(F.col("w"))))
+        return described.select(*KEY).join(accepted, KEY, "left_anti")
+
+    def _append(self, part: str, rows: DataFrame) -> None:
+        rows.repartition("band", "bucket").write.mode("append").partitionBy("band", "bucket").parquet(f"{self.path}/{part}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallframe.llm import dedup, encoder, neighbors, packer, percentiles, pii, reading, replies, splitter
-from recallframe.session import cut, table, written
+from recallframe.session import cut, shared_path, table, written
 
 
 def arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.repeats(arrivals(spark, d)).distinct()
 
 
+#: Deliveries into which ``p2_batches`` deals the order of arrival.
+DELIVERIES = 4
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same cases as ``p2_found``, by checking one delivery after another against the stored history."""
+    texts = cut(arrivals(spark, d))
+    ends = texts.groupBy("src").agg(F.percentile_approx("item_id", [i / DELIVERIES for i in range(1, DELIVERIES)], 1000).alias("ends"))
+    dealt = cut(texts.join(F.broadcast(ends), "src").withColumn("delivery", F.size(F.filter("ends", lambda e: e < F.col("item_id")))).drop("ends"))  # two rows
+    history, found = dedup.History(spark, shared_path(spark, "history")), None
+    for i in range(DELIVERIES):
+        cases = cut(history.check_and_append(dealt.where(F.col("delivery") == i).drop("delivery")))
+        found = cases if found is None else found.unionByName(cases)
+    return found
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.neighbour_pairs(table(spark, d, "memory_vectors")).toDF("vec_id_a", "vec_id_b")
 
@@ -159,7 +175,7 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
