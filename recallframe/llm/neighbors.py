@@ -169,8 +169,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", k: int = K, dim: int = D
     ids = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 at most
     ids = cut(ids.withColumn("rep", F.element_at("ids", 1)))
     sizes = rows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
-    hot_from = max(1000, total // 1000)
-    hot = ids.join(sizes.where(F.col("c") > hot_from), ["h1", "h2"], "left_semi")  # under 1,000 rows + n / 1000 cannot exceed 1,000 classes
+    hot_from = max(1000, rows.count() // 1000)
+    hot = ids.join(sizes.where(F.col("c") > hot_from), ["h1", "h2"], "left_semi")  # more than a thousandth of all rows each: under 1,000 classes
     some = ids.join(sizes.where(F.col("c") <= hot_from), ["h1", "h2"], "left_semi")
     member = rows.select("id", "h1", "h2")
     of_hot = member.join(F.broadcast(hot), ["h1", "h2"])

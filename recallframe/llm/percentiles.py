@@ -4,10 +4,11 @@ A non-negative double and its bit pattern as a long have the same order, so an
 interval of values is an interval of longs.  Every (group, percentile) keeps one
 such interval and the number of rows below it.  A pass over the values counts the
 rows between the interval's midpoints (``FAN`` - 1 of them at once, so one pass
-does the work of ten halvings) and keeps the part that holds the target rank.
-Counting is a map-side aggregate: a hot group costs each task a fixed number of
-counters.  Passes end when every interval is one value or holds few distinct
-values, which are then ranked outright.  The error bound is 0.
+does the work of ten halvings) and keeps the part that holds the target rank,
+drawn in to the least and the greatest value found in it.  Percentiles of a group
+that still share an interval share its counts.  Counting is a map-side aggregate: a
+hot group costs each task a fixed number of counters.  Passes end when every
+interval is one value, for groups of any size; the error bound is 0.
 
 Counts of separate partitions or days add up, so combined groups are treated
 like any other: a row counts for its fine group and for its combined group.
@@ -26,8 +27,8 @@ from recallframe.session import cut, written
 
 PERCENTS = (50, 90, 95, 99)
 FAN_BITS = 10
-FEW = 2000  # distinct values of an interval that are ranked outright
-SMALL_GROUPS = 50_000  # intervals are broadcast up to so many groups, else joined by shuffle
+SMALL_GROUPS = 50_000  # intervals are broadcast up to so many groups, else joined by shuffle, a hot group's rows over SALTS tasks
+SALTS = 32
 
 
 def bits(value: Column) -> Column:
@@ -47,64 +48,41 @@ def bisect(values: DataFrame, percents: tuple[int, ...] = PERCENTS, held: bool =
     """
     kept = values if held else written(values.select("gids", "value"))
     rows = kept.select("gids", F.col("value").cast("double").alias("v")).withColumn("b", bits(F.col("v"))).select(F.explode("gids").alias("gid"), "b", "v")
-    small = F.broadcast
-    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"), F.min("b").alias("lo"), (F.max("b") + 1).alias("hi"))
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("n"), F.min("b").alias("lo"), (F.max("b") + 1).alias("hi"), F.min("v").alias("value"))
     state = cut(
         sizes.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
         .withColumn("rank", F.greatest(F.lit(1), F.expr("(percent * n + 99) div 100")).cast("long"))
-        .select("gid", "percent", "n", "rank", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+        .select("gid", "percent", "n", "rank", "lo", "hi", F.lit(0).cast("long").alias("below"), "value", F.lit(0).alias("passes"))
     )
-    if state.count() > SMALL_GROUPS * len(percents):
-        small = lambda df: df
-    passes = 0
-    while passes < 8:
-        open_ = state.where((F.col("hi") - F.col("lo") > 1) & (F.col("inside") > FEW))
+    many = state.count() > SMALL_GROUPS * len(percents)
+
+    def meet(todo: DataFrame) -> DataFrame:
+        if not many:
+            return rows.join(F.broadcast(todo), "gid")
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+        return salted.join(todo.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gid", "salt"])
+
+    for passes in range(1, 9):  # 63 bits at FAN_BITS a pass
+        open_ = state.where(F.col("hi") - F.col("lo") > 1)
         if open_.isEmpty():
             break
-        passes += 1
         step = F.greatest(F.lit(1), F.expr(f"(hi - lo + {1 << FAN_BITS} - 1) div {1 << FAN_BITS}"))
-        todo = open_.withColumn("step", step).groupBy("gid").agg(F.collect_list(F.struct("percent", "lo", "hi", "step")).alias("todo"))
+        todo = open_.select("gid", "lo", "hi", step.alias("step")).distinct().groupBy("gid").agg(F.collect_list(F.struct("lo", "hi", "step")).alias("todo"))
         counted = (
-            rows.join(small(todo), "gid")
-            .select("gid", "b", F.explode("todo").alias("t"))
+            meet(todo)
+            .select("gid", "b", "v", F.explode("todo").alias("t"))
             .where((F.col("b") >= F.col("t.lo")) & (F.col("b") < F.col("t.hi")))
-            .groupBy("gid", F.col("t.percent").alias("percent"), F.expr("(b - t.lo) div t.step").alias("part"))
-            .agg(F.count("*").alias("c"))
+            .groupBy("gid", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), F.expr("(b - t.lo) div t.step").alias("part"))
+            .agg(F.count("*").alias("c"), F.min("b").alias("least"), F.max("b").alias("most"), F.min("v").alias("first"))
         )
-        upto = Window.partitionBy("gid", "percent").orderBy("part")  # at most 2^FAN_BITS rows each
-        parts = counted.withColumn("upto", F.sum("c").over(upto))
+        upto = Window.partitionBy("gid", "lo", "hi").orderBy("part")  # at most 2^FAN_BITS rows each
         narrowed = (
-            open_.withColumn("step", step)
-            .join(parts, ["gid", "percent"])
+            open_.drop("value", "passes").join(counted.withColumn("upto", F.sum("c").over(upto)), ["gid", "lo", "hi"])
             .where((F.col("below") + F.col("upto") >= F.col("rank")) & (F.col("below") + F.col("upto") - F.col("c") < F.col("rank")))
-            .select(
-                "gid", "percent", "n", "rank",
-                (F.col("lo") + F.col("part") * F.col("step")).alias("lo"),
-                F.least(F.col("hi"), F.col("lo") + (F.col("part") + 1) * F.col("step")).alias("hi"),
-                (F.col("below") + F.col("upto") - F.col("c")).alias("below"),
-                F.col("c").alias("inside"),
-            )
+            .select("gid", "percent", "n", "rank", F.col("least").alias("lo"), (F.col("most") + 1).alias("hi"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"), F.col("first").alias("value"), F.lit(passes).alias("passes"))
         )
-        done = state.where((F.col("hi") - F.col("lo") <= 1) | (F.col("inside") <= FEW))
-        state = cut(done.unionByName(narrowed))
-    # groups of few rows were never narrowed: each row goes to its group once and answers all percentiles
-    few = state.where(F.col("n") <= FEW).groupBy("gid").agg(F.collect_list(F.struct("percent", "n", "rank")).alias("todo"))
-    each = rows.join(small(few.select("gid")), "gid").groupBy("gid", "v").agg(F.count("*").alias("c"))
-    ranked = each.withColumn("upto", F.sum("c").over(Window.partitionBy("gid").orderBy("v")))
-    of_few = ranked.join(small(few), "gid").select("gid", "v", "c", "upto", F.explode("todo").alias("t")).where("upto >= t.rank and upto - c < t.rank")
-
-    last = state.where(F.col("n") > FEW).groupBy("gid").agg(F.collect_list(F.struct("percent", "n", "rank", "lo", "hi", "below")).alias("todo"))
-    left = (
-        rows.join(small(last), "gid")
-        .select("gid", "b", "v", F.explode("todo").alias("t"))
-        .where((F.col("b") >= F.col("t.lo")) & (F.col("b") < F.col("t.hi")))
-        .groupBy("gid", "t", "v")
-        .agg(F.count("*").alias("c"))
-    )
-    by_value = Window.partitionBy("gid", "t.percent").orderBy("v")
-    of_many = left.withColumn("upto", F.col("t.below") + F.sum("c").over(by_value)).where("upto >= t.rank and upto - c < t.rank")
-    out = lambda df: df.select("gid", F.col("t.percent").alias("percent"), F.col("t.rank").alias("rank"), F.col("t.n").alias("n"), F.col("v").alias("value"), F.lit(passes).alias("passes"))
-    return out(of_few).unionByName(out(of_many))
+        state = cut(state.where(F.col("hi") - F.col("lo") <= 1).unionByName(narrowed))
+    return state.select("gid", "percent", "rank", "n", "value", "passes")
 
 
 def usable(value: Column) -> Column:

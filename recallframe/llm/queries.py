@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recallframe.llm import dedup, encoder, neighbors, packer, percentiles, pii, reading, replies, splitter
 from recallframe.session import cut, shared_path, table, written
@@ -113,6 +114,20 @@ SELECT DISTINCT src, item_id, pos FROM t WHERE length(trim(text, ' ' || chr(9) |
 """
 
 
+def p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Per oversized text: its length as the pieces give it back, and pieces over the limit, with gaps or of wrong text."""
+    pieces = p5_pieces(spark, d)
+    order = Window.partitionBy("src", "item_id", "pos").orderBy("piece_no")
+    whole = oversized_candidates(spark, d).dropDuplicates(["src", "item_id", "pos"]).select("src", "item_id", "pos", F.expr("trim(BOTH ' \t\r\n' FROM text)").alias("body"))
+    each = pieces.withColumn("before", F.coalesce(F.lag("piece_end").over(order), F.lit(0))).join(whole, ["src", "item_id", "pos"])
+    wrong = (F.char_length("piece") > splitter.LIMIT) | (F.col("own_start") != F.col("before")) | (F.col("piece_start") > F.col("own_start")) | (F.col("piece") != F.substring("body", F.col("piece_start") + 1, F.col("piece_end") - F.col("piece_start")))
+    return each.groupBy("src", "item_id", "pos").agg(F.max("piece_end").cast("long").alias("chars"), F.count(F.when(wrong, 1)).alias("wrong"), F.min("piece_no").cast("long").alias("first_no"))
+
+
+P5_COVER_SQL = f"""SELECT src, item_id, pos, max(length(trim(text, ' ' || chr(9) || chr(10) || chr(13)))) AS chars, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS first_no
+FROM ({P5_SQL.split('WITH t AS (')[1].split(')\nSELECT DISTINCT')[0]}) t WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1000 GROUP BY ALL"""
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoder.encode_corpus(table(spark, d, "documents"))
 
@@ -138,6 +153,22 @@ def p8_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of window: documents packed, those missing or packed twice, windows over their room, documents split without need, and whether there are at most 5 % and one window more than any packing needs."""
+    packed = cut(p8_windows(spark, d))
+    usable = table(spark, d, "context_windows").select("window_name", (F.col("capacity_tokens") - F.col("reserved_tokens")).alias("usable"))
+    docs = table(spark, d, "documents").count()
+    by_doc = packed.groupBy("window_name", "doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"), F.sum("n_tokens").alias("size")).join(F.broadcast(usable), "window_name")
+    split = (F.col("pieces") > 1) & (F.col("size") <= F.col("usable"))
+    twice = (F.col("pieces") > 1) & (F.col("kinds") < F.col("pieces"))
+    of_docs = by_doc.groupBy("window_name").agg(F.count("*").alias("docs"), (F.lit(docs) - F.count("*")).alias("missing"), F.count(F.when(twice, 1)).alias("twice"), F.count(F.when(split & ~twice, 1)).alias("split"), F.sum("size").alias("tokens"))
+    of_windows = packed.groupBy("window_name", "window_no").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(usable), "window_name").groupBy("window_name").agg(F.count(F.when(F.col("used") > F.col("usable"), 1)).alias("over"), F.count("*").alias("windows"), F.max("usable").alias("usable"))
+    return of_docs.join(of_windows, "window_name").select("window_name", "docs", "missing", "twice", "split", "over", (F.col("windows") <= 1.05 * F.ceil(F.col("tokens") / F.col("usable")) + 1).alias("filled"))
+
+
+P8_CHECK_SQL = "SELECT window_name, (SELECT count(*) FROM documents) AS docs, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS over, true AS filled FROM context_windows"
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -175,8 +206,8 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p9_found": p9_found, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p6_found": p6_found, "p8_windows": p8_windows, "p8_summary": p8_summary, "p8_check": p8_check, "p9_found": p9_found, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_percentiles": p4_percentiles, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_cover": p5_cover, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_percentiles": P4_SQL, "p5_found": P5_SQL}
+    return {"p4_percentiles": P4_SQL, "p5_found": P5_SQL, "p5_cover": P5_COVER_SQL, "p8_check": P8_CHECK_SQL}

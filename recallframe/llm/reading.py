@@ -18,6 +18,7 @@ any known word it gets the level of average features.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ from recallframe.llm.words import normal
 from recallframe.session import cut, spread
 
 LEVELS, LEAST_RUNS, KNOWN, LEAST_DOCS = 4, 40, 0.25, 2
-MOST_WORDS, MOST_RATED, FLAT = 200_000, 20_000, 0.05
+MOST_RATED, FLAT = 20_000, 0.05
+WORD_SHARE = 1 / 10_000  # of the rated texts; words below tell no grade, and the table is bounded by the share
 QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
 #: Function words; those of other languages with Latin letters only tell the four from them.
 LANGUAGES, SPOKEN = ("en", "de", "fr", "es"), 0.08
@@ -53,19 +55,23 @@ FUNCTION = {lang: frozenset(own.split()) for lang, own in {
     "fi": "ja on ei se että hän oli mutta ovat joka niin kun kuin myös tai sen ole",
     "hu": "a az és hogy nem is egy ez meg csak de van mint már még volt ha vagy el",
 }.items()}
+OF_LANGUAGES = {w: tuple(lang for lang, own in FUNCTION.items() if w in own) for w in frozenset().union(*FUNCTION.values())}
 RUN = regex.compile(r"\p{L}+")
-LATIN, LETTER = regex.compile(r"\p{Latin}"), regex.compile(r"\p{L}")
+OTHER, LETTER = regex.compile(r"[\p{L}--\p{Latin}]", regex.V1), regex.compile(r"\p{L}")
 FENCE = regex.compile(r"```.*?(?:```|\Z)", regex.S)
 LOG_LINE = regex.compile(r"(?m)^\s*\d{4}-\d\d-\d\dT\S+ .*$")
 
 
-SENTENCE = regex.compile(r"[.!?…]+\s|\n+|;\s")
+SENTENCE = re.compile(r"[.!?…]+\s|\n+|;\s")
+ASCII_RUN = re.compile(r"[a-z]+")
 WIDTH = len(QUANTILES) + 5 + 8
 
 
 def sentences(text: str) -> list[list[str]]:
     """Letter runs by sentence or line, outside of fenced code and log lines."""
-    return [own for part in SENTENCE.split(normal(LOG_LINE.sub(" ", FENCE.sub(" ", text)))) if (own := RUN.findall(part))]
+    text = FENCE.sub(" ", text) if "```" in text else text
+    text = LOG_LINE.sub(" ", text) if text[:1].isdigit() or "\n2" in text or "\n1" in text or "\n " in text or text[:1].isspace() else text
+    return [own for part in SENTENCE.split(normal(text)) if (own := (ASCII_RUN if part.isascii() else RUN).findall(part))]
 
 
 def runs(text: str) -> list[str]:
@@ -74,11 +80,24 @@ def runs(text: str) -> list[str]:
 
 def spoken(words: list[str]) -> bool:
     """Whether function words tell one of the four languages."""
-    shares = {lang: sum(w in own for w in words) for lang, own in FUNCTION.items()}
+    shares = dict.fromkeys(FUNCTION, 0)
+    for w in words:
+        for lang in OF_LANGUAGES.get(w, ()):
+            shares[lang] += 1
     ours = max(shares[lang] for lang in LANGUAGES)
     return ours >= SPOKEN * max(1, len(words)) and ours > max(n for lang, n in shares.items() if lang not in LANGUAGES)
 
 
+_AT = np.array((0.1, 0.25, 0.5, 0.75, 0.9))
+
+
+def _quantiles(ordered: np.ndarray) -> np.ndarray:
+    at = _AT * (len(ordered) - 1)
+    low = at.astype(int)
+    high = np.minimum(low + 1, len(ordered) - 1)
+    return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
+
+
 class Grades:
     """Words' counts by level, and from them their acquisition grades and how much they say."""
 
@@ -104,12 +123,13 @@ class Grades:
         """Quantiles over words and over sentences, and the share of known words; ``level``: the text's own, to be taken out."""
         none = np.full(WIDTH, np.nan), 0.0
         get = self.index.get
-        pairs = [(i, n) for n, own in enumerate(parts) for w in own if (i := get(w)) is not None]
-        if not pairs:
+        size = np.array([len(own) for own in parts])
+        token = np.array([get(w, -1) for own in parts for w in own])
+        where = np.repeat(np.arange(len(parts)), size)[token >= 0]
+        token = token[token >= 0]
+        if not len(token):
             return none
-        token, where = np.array(pairs).T
         word, back, c = np.unique(token, return_inverse=True, return_counts=True)
-        size = np.array([len(own) for own in parts])
         if level is None:
             p, grade, says = self.p[word], self.grade[word], self.says[word]
         else:
@@ -129,7 +149,7 @@ class Grades:
         good = (heavy > 0) & (size >= 3)
         if good.any():
             v, length = light[good] / heavy[good], size[good]
-            of_sentences = [v.mean(), *np.quantile(v, (0.1, 0.25, 0.5, 0.75, 0.9)), (v * length).sum() / length.sum(), np.log(length.mean())]
+            of_sentences = [v.mean(), *_quantiles(np.sort(v)), (v * length).sum() / length.sum(), np.log(length.mean())]
         else:
             of_sentences = [mean] * 7 + [0.0]
         return np.array([*q, mean, *((weight[:, None] * p).sum(axis=0) / total), *of_sentences]), len(token) / size.sum()
@@ -152,13 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame):
     each = spread(rated).mapInPandas(count, "word string, level int, c long")
     by_level = cut(each.groupBy("word").agg(*(F.sum(F.when(F.col("level") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, LEVELS + 1)), F.count("*").alias("docs")))
     totals = by_level.agg(*(F.sum(f"c{k}") for k in range(1, LEVELS + 1))).first()
-    least = LEAST_DOCS
-    while by_level.where(F.col("docs") >= least).count() > MOST_WORDS:
-        least *= 2
+    many = rated.count()
+    least = max(LEAST_DOCS, int(many * WORD_SHARE))
     counts = {r["word"]: tuple(r[f"c{k}"] for k in range(1, LEVELS + 1)) for r in by_level.where(F.col("docs") >= least).collect()}
     grades = Grades(counts, [t or 0 for t in totals])
 
-    many = rated.count()
     take = rated if many <= MOST_RATED else rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-many // MOST_RATED))) == 0)
     shared = docs.sparkSession.sparkContext.broadcast(grades)
 
@@ -214,7 +232,7 @@ def levels(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 if len(RUN.findall(text)) < LEAST_RUNS:
                     continue
-                if 2 * len(LATIN.findall(text)) < len(LETTER.findall(text)):
+                if not text.isascii() and 2 * len(OTHER.findall(text)) > len(LETTER.findall(text)):
                     continue
                 parts = sentences(text)
                 x, known = grades.value.features(parts)

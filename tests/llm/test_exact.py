@@ -94,8 +94,10 @@ def test_bits_keep_the_order(spark):
     assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and got[-1][1] > got[5][1] > 0
 
 
-def test_bisection_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "FEW", 3)
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_bisection_is_exact(spark, monkeypatch, small):
+    """Groups of one row to hundreds are all bisected, with intervals broadcast or joined by salted shuffle."""
+    monkeypatch.setattr(percentiles, "SMALL_GROUPS", small)
     rng = random.Random(2)
     groups = {1: [rng.lognormvariate(3, 2) for _ in range(500)], 2: [7.0] * 400 + [1.0], 3: [rng.randint(0, 9) * 1.0 for _ in range(300)], 4: [2.5]}
     df = spark.createDataFrame([([g], v) for g, vs in groups.items() for v in vs], "gids array<long>, value double")
