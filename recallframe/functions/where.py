@@ -75,6 +75,14 @@ def compile_where(where: dict[str, Any] | None, metadata: Column) -> Column:
     return out
 
 
+def as_text(wanted: dict[str, str], metadata: Column) -> Column:
+    """Whether all fields, as text, equal the given ones; a missing field never does."""
+    out = F.lit(True)
+    for field, value in wanted.items():
+        out = out & F.coalesce(F.get_json_object(metadata, f"$.{field}") == value, F.lit(False))
+    return out
+
+
 def glob_to_regex(glob: str) -> str:
     """Anchored regular expression of a shell pattern with * and ?."""
     special = ".^$+{}[]()|\\"

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recallframe.session import cut
+
+#: Categories of a fact, and scores from which it is a repeat or in doubt.
 CATEGORIES = ("preference", "goal", "biographical", "relationship", "event", "other")
 NEAR, AMBIGUOUS = 0.92, 0.75
 
@@ -82,12 +85,18 @@ def forget_summaries(summaries: DataFrame, turns: DataFrame, gone: DataFrame) ->
     return counts.where("deleted > 0").withColumn("fate", F.when(F.col("left") == 0, "delete").otherwise("regenerate"))
 
 
-def supersession(facts: DataFrame, hops: int = 8) -> DataFrame:
-    """fact_id, newest: the end of each chain of replacements, by pointer doubling."""
-    step = facts.select("fact_id", F.coalesce("superseded_by", "fact_id").alias("newest"))
-    done = 1
-    while done < hops:
+def supersession(facts: DataFrame, most: int = 64) -> DataFrame:
+    """fact_id, newest: the end of each chain of replacements, by pointer doubling until nothing moves.
+
+    Chains of up to 2^``most`` links end; what still moves then is a circle, and raises.
+    """
+    step = cut(facts.select("fact_id", F.coalesce("superseded_by", "fact_id").alias("newest")))
+    for _ in range(most):
         nxt = step.select(F.col("fact_id").alias("newest"), F.col("newest").alias("further"))
-        step = step.join(nxt, "newest", "left").select("fact_id", F.coalesce("further", "newest").alias("newest"))
-        done *= 2
-    return step
+        new = cut(step.join(nxt, "newest", "left").select("fact_id", F.coalesce("further", "newest").alias("newest"), (F.coalesce("further", "newest") != F.col("newest")).alias("moved")))
+        step = new.select("fact_id", "newest")
+        if new.where("moved").isEmpty():
+            return step
+        if not new.where("moved and fact_id = newest").isEmpty():
+            break
+    raise ValueError("replacements go in a circle")

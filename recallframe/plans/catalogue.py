@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from recallframe.plans import memory_queries, retrieval_queries
+from recallframe.plans import memory_queries, retrieval_queries, session_queries
+
+_MODULES = (retrieval_queries, memory_queries, session_queries)
 
 
 def queries() -> dict:
-    return {**retrieval_queries.QUERIES, **memory_queries.QUERIES}
+    return {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**retrieval_queries.SQL, **memory_queries.SQL}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -74,7 +74,7 @@ def compaction_due(s, d):
 def merged_metadata(s, d):
     own = once(s, d, "store_requests", "request_id").where("metadata is not null and json_object_keys(metadata) is not null")
     m = st.merged(F.col("metadata"), F.array(F.lit('{"source": "first"}'), F.lit('{"source": "patched"}')))
-    return own.select("request_id", m["source"].alias("source"), m["lang"].alias("lang"))
+    return own.select("request_id", F.get_json_object(m, "$.source").alias("source"), F.get_json_object(m, "$.lang").alias("lang"))
 
 
 @query("recent_n", "SELECT request_id, timestamp_step FROM (SELECT DISTINCT request_id, timestamp_step FROM store_requests) ORDER BY request_id DESC LIMIT 20")
@@ -153,16 +153,12 @@ def parse_facts(s, d):
 
 
 _SET = r"list_distinct(list_filter(string_split_regex(lower({x}), '[ \t\n\r\f\v]+'), lambda w: w <> ''))"
-_CAND = f"""SELECT f.fact_id, o.fact_id AS other_id, len(list_intersect(f.ws, o.ws))::DOUBLE / greatest(1, len(list_distinct(list_concat(f.ws, o.ws)))) AS score, o.fact_id % 7 = 0 AS superseded
-FROM fs f JOIN fs o ON f.session_id = o.session_id AND o.n BETWEEN f.n - 8 AND f.n - 1"""
+_CAND = """SELECT f.fact_id, o.fact_id AS other_id, len(list_intersect(f.ws, o.ws))::DOUBLE / greatest(1, len(list_distinct(list_concat(f.ws, o.ws)))) AS score, o.fact_id % 7 = 0 AS superseded
+FROM fs f JOIN fs o ON f.session_id = o.session_id AND (f.user_id IS NULL OR o.user_id = f.user_id) AND o.fact_id < f.fact_id"""
 
 
-@query("reconcile_tristate", f"""WITH fs AS (SELECT fact_id, session_id, {_SET.replace('{x}', 'text')} AS ws, row_number() OVER (PARTITION BY session_id ORDER BY fact_id) AS n FROM (SELECT DISTINCT fact_id, session_id, text FROM extracted_facts WHERE text IS NOT NULL AND session_id IS NOT NULL)),
-c AS ({_CAND}), t AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, other_id) AS r FROM c),
-b AS (SELECT fact_id, max(score) AS best FROM t WHERE r <= 5 AND NOT superseded GROUP BY fact_id)
-SELECT fs.fact_id, round(best, 6) AS best, CASE WHEN best IS NULL OR best < 0.75 THEN 'add' WHEN best >= 0.92 THEN 'near_dup' ELSE 'ambiguous' END AS decision FROM fs LEFT JOIN b USING (fact_id)""")
-def reconcile_tristate(s, d):
-    """Each fact against all facts before it of its session and user; without a user, against those of every user.
+def candidates(s, d):
+    """fact_id, other_id, score, superseded, r: the 5 likest of all facts before it of its session and user; without a user, of every user.
 
     Every earlier fact counts as stored.  The facts of a scope are numbered, and those that
     ask dealt into blocks by number, so a hot scope is many tasks; a block keeps its 5 best.
@@ -178,8 +174,17 @@ def reconcile_tristate(s, d):
     met = asking.join(stored, [*inside, "block"]).where("at < n")
     c = met.select(*inside, "block", "fact_id", "other_id", vec.jaccard(F.col("ws"), F.col("other")).alias("score"), (F.col("other_id") % 7 == 0).alias("superseded"))
     r = F.row_number().over(Window.partitionBy(*inside, "block", "fact_id").orderBy(F.desc("score"), "other_id"))
-    c = c.withColumn("r", r).where("r <= 5").select("fact_id", "other_id", "score", "superseded")
-    return cv.reconcile(c, f).withColumn("best", F.round("best", 6))
+    return c.withColumn("r", r).where("r <= 5").select("fact_id", "other_id", "score", "superseded", "r")
+
+
+@query("reconcile_tristate", f"""WITH fs AS (SELECT fact_id, session_id, user_id, {_SET.replace('{x}', 'text')} AS ws FROM (SELECT DISTINCT fact_id, session_id, user_id, text FROM extracted_facts WHERE text IS NOT NULL AND session_id IS NOT NULL)),
+c AS ({_CAND}), t AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY score DESC, other_id) AS r FROM c),
+b AS (SELECT fact_id, max(score) AS best FROM t WHERE r <= 5 AND NOT superseded GROUP BY fact_id)
+SELECT fs.fact_id, round(best, 6) AS best, CASE WHEN best IS NULL OR best < 0.75 THEN 'add' WHEN best >= 0.92 THEN 'near_dup' ELSE 'ambiguous' END AS decision FROM fs LEFT JOIN b USING (fact_id)""")
+def reconcile_tristate(s, d):
+    """Each fact against all facts before it of its session and user."""
+    facts = once(s, d, "extracted_facts", "fact_id").where("text is not null and session_id is not null")
+    return cv.reconcile(candidates(s, d).drop("r"), facts).withColumn("best", F.round("best", 6))
 
 
 _NEXT = "(SELECT fact_id, lead(fact_id) OVER (PARTITION BY session_id, extract_batch ORDER BY fact_id) AS superseded_by, last_value(fact_id) OVER (PARTITION BY session_id, extract_batch ORDER BY fact_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS newest FROM (SELECT DISTINCT fact_id, session_id, extract_batch FROM extracted_facts))"
@@ -197,7 +202,7 @@ def live_facts(s, d):
 
 @query("supersession_chain", f"SELECT fact_id, newest FROM {_NEXT}")
 def supersession_chain(s, d):
-    return cv.supersession(_replaced(s, d), 32)
+    return cv.supersession(_replaced(s, d))
 
 
 @query("clear_session", "SELECT category IS NULL AS loose, count(*) AS n FROM (SELECT DISTINCT * FROM extracted_facts) WHERE session_id IS NULL OR session_id <> (SELECT min(session_id) FROM extracted_facts) GROUP BY 1")
