@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +64,9 @@ def bullets(text: Column) -> Column:
     """Items of a bulleted list; without bullets, the short non-empty lines."""
     lines = F.split(text, "\\r?\\n")
     mark = "^\\s*[-*•]\\s*(.+?)\\s*$"
-    marked = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(mark))), lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, mark, 1), "^[\"']+|[\"']+$", "")))
-    plain = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit("[\\p{L}\\p{N}]")) & (F.length(x) < 200))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, '^"+|"+$', ""), "^'+|'+$", "")
+    marked = F.filter(F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(mark))), lambda x: bare(F.trim(F.regexp_extract(x, mark, 1)))), lambda x: x != "")
+    plain = F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < 200)), bare)
     return F.when(F.size(marked) > 0, marked).otherwise(plain)
 
 
@@ -80,18 +82,24 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def longest_common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two word arrays, as a fold over rows."""
-    zero = F.transform(b, lambda _: F.lit(0))
+def _common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a bit for each place of ``a``, cleared where a match grows."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for w in b:
+        met = row & places.get(w, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(a) - row.bit_count()
 
-    def row(prev: Column, x: Column) -> Column:
-        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("left"), F.lit(0).alias("diagonal"))
 
-        def cell(acc: Column, i: Column) -> Column:
-            above = F.element_at(prev, i)
-            here = F.when(F.element_at(b, i) == x, acc["diagonal"] + 1).otherwise(F.greatest(above, acc["left"]))
-            return F.struct(F.concat(acc["out"], F.array(here)).alias("out"), here.alias("left"), above.alias("diagonal"))
+def longest_common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two word arrays, over Arrow batches."""
 
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.size(b)), start, cell)["out"]).otherwise(prev)
+    @F.pandas_udf("int")
+    def length(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([_common_length(list(x), list(y)) for x, y in zip(xs, ys)], dtype="int32")
 
-    return F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0))
+    return length(a, b)

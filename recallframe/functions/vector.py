@@ -29,3 +29,14 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     """Shared part of two sets; ``both_empty`` if there is nothing on either side."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def score_of_distance(d: Column, kind: str = "cosine") -> Column:
+    """Similarity of a distance that another store reports: 1 - d of cosine distances, 1 / (1 + d) of Euclidean ones, -d of inner products."""
+    if kind == "cosine":
+        return 1.0 - d
+    if kind == "l2":
+        return 1.0 / (1.0 + d)
+    if kind == "ip":
+        return -d
+    raise ValueError(f"unknown distance {kind}")

@@ -25,6 +25,38 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
 
 
+def _kernel(k: int, same: bool, measure: str, digits: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Scores one block (qid, v) against another (id, v) by a matrix product and keeps k per query, ties by smaller id."""
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
+        right = right.sort_values("id")
+        b, ids, found = _matrix(right["v"]), right["id"].to_numpy(), []
+        b = _unit(b) if measure == "cosine" else b
+        for lo in range(0, len(left), 512):  # a strip of scores at a time
+            part = left.iloc[lo : lo + 512]
+            a, qids = _matrix(part["v"]), part["qid"].to_numpy()
+            s = _unit(a) @ b.T if measure == "cosine" else -np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
+            s = np.round(s, digits)
+            if same:
+                s[qids[:, None] == ids[None]] = -np.inf
+            if s.shape[1] > 4 * k:  # the k-th best, and all that ties with it, before anything is sorted
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                row, col = np.nonzero(s >= least[:, None])
+            else:
+                row, col = np.divmod(np.arange(s.size), s.shape[1])
+            value = s[row, col]
+            order = np.lexsort((col, -value, row))
+            row, col, value = row[order], col[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = (place < k) & np.isfinite(value)
+            found.append(pd.DataFrame({"qid": qids[row[keep]], "id": ids[col[keep]], "score": value[keep]}))
+        return pd.concat(found)
+
+    return score
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, same: bool = False, measure: str = "cosine", digits: int = 6) -> DataFrame:
     """qid, id, score, rank: the k best of ``corpus(id, vector)`` for each of ``queries(qid, vector)``.
 
@@ -40,26 +72,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, same: bool = False, mea
     q = queries.select("qid", F.col("vector").alias("v"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("bq")).withColumn("bc", blocks(nc))
     c = corpus.select("id", F.col("vector").alias("v"), F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("bc")).withColumn("bq", blocks(nq))
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
-        if not len(left) or not len(right):
-            return out
-        a, b = _matrix(left["v"]), _matrix(right["v"])
-        ids, qids = right["id"].to_numpy(), left["qid"].to_numpy()
-        order = np.argsort(ids)
-        b, ids = b[order], ids[order]
-        if measure == "cosine":
-            s = _unit(a) @ _unit(b).T
-        else:
-            s = -np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
-        s = np.round(s, digits)
-        if same:
-            s[qids[:, None] == ids[None]] = -np.inf
-        keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(s, keep, 1)
-        found = pd.DataFrame({"qid": np.repeat(qids, keep.shape[1]), "id": ids[keep].ravel(), "score": top.ravel()})
-        return found[np.isfinite(found["score"])]
-
+    score = _kernel(k, same, measure, digits)
     met = q.groupBy("bq", "bc").cogroup(c.groupBy("bq", "bc")).applyInPandas(score, "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -164,14 +177,16 @@ def cell_index(corpus: DataFrame, cells: int = 16, sample: int = 20_000, rounds:
 
 
 def cell_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 4, wanted: float = WANTED) -> DataFrame:
-    """Approximate top-k in the nearest cells: ``probes``, or more where the learnt share of true neighbours needs them."""
-    from recallframe.functions.vector import cosine
+    """Approximate top-k in the nearest cells: ``probes``, or more where the learnt share of true neighbours needs them.
+
+    A cell's queries meet its rows as matrices.
+    """
 
     def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         own = (b @ centres.T).argmax(axis=1)
         return (np.argsort(-(a @ centres.T), axis=1) == own[:, None]).argmax(axis=1) + 1
 
-    probes = max(probes, _learnt(index, k, reach, wanted))
+    probes = min(len(centres), max(probes, _learnt(index, k, reach, wanted)))
 
     def near(batches):
         for pdf in batches:
@@ -179,13 +194,38 @@ def cell_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: in
             yield pdf.assign(cells=list(order.astype("int32")))
 
     asked = queries.select("qid", "vector").mapInPandas(near, "qid long, vector array<float>, cells array<int>")
-    met = asked.select("qid", F.col("vector").alias("vq"), F.explode("cells").alias("cell")).join(index, "cell").where("qid <> id")
-    scored = met.select("qid", "id", F.round(cosine(F.col("vq"), F.col("vector")), 6).alias("score"))
+    # a cell of many rows is dealt into blocks; cells are as few as centres
+    blocks = {r["cell"]: -(-r["n"] // BLOCK) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    if not blocks:
+        return index.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    many = F.create_map(*(F.lit(int(x)) for kv in blocks.items() for x in kv))
+    members = index.select("id", F.col("vector").alias("v"), "cell", F.pmod(F.xxhash64("id"), many[F.col("cell")]).cast("int").alias("block"))
+    probing = asked.select("qid", F.col("vector").alias("v"), F.explode("cells").alias("cell")).where(many[F.col("cell")].isNotNull())
+    probing = probing.withColumn("block", F.explode(F.sequence(F.lit(0), many[F.col("cell")].cast("int") - 1)))
+    met = probing.groupBy("cell", "block").cogroup(members.groupBy("cell", "block")).applyInPandas(_kernel(k, True, "cosine", 6), "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Mean share of the exact neighbours that were found."""
     hit = exact.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
     return hit.groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r")).agg(F.avg("r").alias("recall"), F.count("*").alias("queries"))
+
+
+def knn_graph(corpus: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """a, b, score with a < b: edges between rows of which one is among the k nearest of the other; ``asked`` (ids) limits who asks."""
+    near = related(corpus.select("id") if asked is None else asked, corpus, k)
+    return near.groupBy(F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b")).agg(F.max("score").alias("score"))
+
+
+def get_vectors(ids: DataFrame, corpus: DataFrame) -> DataFrame:
+    """pos, id, vector of ``ids(pos, id)``; an id that is not stored raises."""
+    found = ids.join(corpus.select("id", "vector", F.lit(True).alias("_held")), "id", "left")
+    known = F.when(F.col("_held"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no vector with id "), F.col("id").cast("string"))))
+    return found.select("pos", known.cast("long").alias("id"), "vector")
+
+
+def bounded_cells(n: int) -> int:
+    """Cells that grow with the square root of the rows, so that a search reads about as many centres as members."""
+    return max(16, int(np.sqrt(max(0, n))) // 4)

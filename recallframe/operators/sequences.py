@@ -60,3 +60,49 @@ def spike_multiplier(losses: Column, spike: float = 2.0, cut_: float = 0.5, reco
         return F.struct(F.coalesce((1 - alpha) * s["mean"] + alpha * x, x).alias("mean"), F.when(hit, s["m"] * cut_).otherwise(F.least(F.lit(1.0), s["m"] * recover)).alias("m"))
 
     return F.aggregate(losses, start, step, lambda s: s["m"])
+
+
+def loss_statistics(values: Column, keep: float = 0.99) -> Column:
+    """struct(mean, variance): moving mean of an ordered sequence and of its squared deviations from the mean before, both from 0."""
+    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("variance"))
+
+    def step(s: Column, x: Column) -> Column:
+        x = x.cast("double")
+        return F.struct((keep * s["mean"] + (1 - keep) * x).alias("mean"), (keep * s["variance"] + (1 - keep) * (x - s["mean"]) * (x - s["mean"])).alias("variance"))
+
+    return F.aggregate(values, start, step)
+
+
+def pair_average(deltas: Column, alpha: float = 0.9) -> Column:
+    """Last value of e = alpha * e + (1 - alpha) * delta, started at 0."""
+    return F.aggregate(deltas, F.lit(0.0), lambda e, x: alpha * e + (1 - alpha) * x.cast("double"))
+
+
+def by_step(step: Column, windows: list[tuple[int, int, dict[str, float]]]) -> Column:
+    """Weights (name -> share of the sum) of the window that holds the step, start included and end not; null outside of all."""
+    out = F.lit(None).cast("map<string,double>")
+    for start, end, weights in reversed(windows):
+        total = sum(weights.values())
+        out = F.when((step >= start) & (step < end), F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(v / total))))).otherwise(out)
+    return out
+
+
+def regime(step: Column, durations: list[int]) -> Column:
+    """Number of the regime at a step, of regimes that follow one another; the last one holds on."""
+    out, end = F.lit(len(durations) - 1), sum(durations)
+    for i in range(len(durations) - 2, -1, -1):
+        end -= durations[i + 1]
+        out = F.when(step < end, F.lit(i)).otherwise(out)
+    return out
+
+
+def last_of(df: DataFrame, by: str, order: str, value: str, n: int) -> DataFrame:
+    """by, mean, low, high, last, n over the last ``n`` values of each series."""
+    own = df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_r") <= n)
+    return own.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.max_by(value, order).alias("last"), F.count("*").alias("n"))
+
+
+def live_revocations(log: DataFrame, now: int) -> DataFrame:
+    """jti, exp of what is revoked at a time: entries (raw JSON lines) whose end lies ahead; torn lines are passed over."""
+    parsed = log.select(F.from_json("raw", "jti string, exp long").alias("r")).select("r.jti", "r.exp").where("jti is not null and exp is not null")
+    return parsed.where(F.col("exp") > now).groupBy("jti").agg(F.max("exp").alias("exp"))

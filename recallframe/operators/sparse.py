@@ -5,8 +5,10 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recallframe.functions.vector import jaccard
 from recallframe.session import spread
@@ -83,3 +85,42 @@ def separate_rows(codes: DataFrame, strength: float = 0.3) -> DataFrame:
     met = pairs.groupBy("g", "place").agg(F.array_sort(F.collect_list(F.struct("at", "other"))).alias("later"))
     others = F.coalesce(F.transform("later", lambda x: x["other"]), F.array().cast("array<array<int>>"))
     return codes.join(met, ["g", "place"], "left").select("g", "place", F.aggregate(others, F.col("code"), _give_up(strength)).alias("code"))
+
+
+def topology(queries: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """qid, id, score, rank: share of the query's active dimensions (qid, code) that an entry (id, code) shares, over a dimension index."""
+    asked = queries.select("qid", F.size("code").alias("n"), F.explode("code").alias("dim"))
+    index = stored.select("id", F.explode("code").alias("dim"))
+    scored = asked.join(index, "dim").groupBy("qid", "id").agg(F.round(F.count("*") / F.first("n"), 6).alias("score"))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def separation(asked: DataFrame, stored: DataFrame, block: int = 4096) -> DataFrame:
+    """within, between, ratio: mean similarity of codes (id, label, code) of equal and of different labels, asked against stored.
+
+    Blocks meet blocks as binary matrices; a task gives back four sums.
+    """
+    nq, ns = (max(1, -(-df.count() // block)) for df in (asked, stored))
+    deal = lambda df, own, n, other, m: df.select(F.col("id").alias("i"), F.col("label").alias("l"), F.col("code").alias("c"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q, c = deal(asked, "bq", nq, "bc", ns), deal(stored, "bc", ns, "bq", nq)
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"ws": [], "wn": [], "bs": [], "bn": []})
+        codes = [[np.asarray(x, dtype=np.int64) for x in side["c"]] for side in (left, right)]
+        width = 1 + max((int(x.max()) for own in codes for x in own if len(x)), default=0)
+        binary = lambda own: np.array([np.bincount(x, minlength=width) for x in own], dtype=np.float32)
+        a, b = map(binary, codes)
+        both = a @ b.T
+        union = a.sum(1)[:, None] + b.sum(1)[None] - both
+        sim = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+        other = left["i"].to_numpy()[:, None] != right["i"].to_numpy()[None]
+        same = (left["l"].to_numpy()[:, None] == right["l"].to_numpy()[None]) & other
+        apart = ~same & other
+        return pd.DataFrame({"ws": [float(sim[same].sum())], "wn": [int(same.sum())], "bs": [float(sim[apart].sum())], "bn": [int(apart.sum())]})
+
+    met = q.groupBy("bq", "bc").cogroup(c.groupBy("bq", "bc")).applyInPandas(sums, "ws double, wn long, bs double, bn long")
+    mean = lambda s, n: F.sum(s) / F.sum(n)
+    out = met.agg(mean("ws", "wn").alias("within"), mean("bs", "bn").alias("between"))
+    return out.withColumn("ratio", F.when(F.col("between") > 0, F.col("within") / F.col("between")))

@@ -104,6 +104,16 @@ def append_lines(rows: DataFrame, path: str) -> bool:
         return False
 
 
+def framed(rows: DataFrame, payload: str) -> DataFrame:
+    """The rows with a check number of their payload."""
+    return rows.withColumn("crc", F.crc32(F.coalesce(F.col(payload), F.lit("")).cast("binary")))
+
+
+def torn(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows whose check number is missing or does not fit the payload."""
+    return rows.where(~F.coalesce(F.col("crc") == F.crc32(F.coalesce(F.col(payload), F.lit("")).cast("binary")), F.lit(False)))
+
+
 def compact(ops: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
     """Snapshot of the log at ``at``, and the tail that stays."""
     return fold(ops, at), ops.where(F.col("seq") > at)

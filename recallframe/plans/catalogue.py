@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recallframe.plans import memory_queries, retrieval_queries, session_queries
+from recallframe.plans import analysis_queries, memory_queries, retrieval_queries, session_queries
 
-_MODULES = (retrieval_queries, memory_queries, session_queries)
+_MODULES = (retrieval_queries, memory_queries, session_queries, analysis_queries)
 
 
 def queries() -> dict:

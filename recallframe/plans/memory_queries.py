@@ -93,9 +93,12 @@ def bundle_catalogue(s, d):
     return once(s, d, "store_requests", "request_id").groupBy("bundle").agg(F.count("*").alias("entries"), F.sum(F.length("text")).alias("chars"), F.max("timestamp_step").alias("step"))
 
 
-@query("crc_integrity")
+@query("crc_integrity", "SELECT event_id FROM events WHERE event_id % 97 = 0")
 def crc_integrity(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.sum(F.crc32("props")).alias("crc"))
+    """Records whose payload is no longer what its check number says."""
+    framed = st.framed(table(s, d, "events").select("event_id", "props"), "props")
+    torn = framed.withColumn("props", F.when(F.col("event_id") % 97 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props")))
+    return st.torn(torn, "props").select("event_id")
 
 
 # ------------------------------------------------------------------ conversations; a user's day is a session
@@ -146,10 +149,13 @@ def forget_summaries(s, d):
 _CATS = "CASE WHEN lower(trim(category)) IN ('preference', 'goal', 'biographical', 'relationship', 'event', 'other') THEN lower(trim(category)) ELSE 'other' END"
 
 
-@query("parse_facts", f"SELECT fact_id, {_CATS} AS category, trim(text, ' ') AS text FROM (SELECT DISTINCT fact_id, category, text FROM extracted_facts) WHERE category IS NOT NULL AND trim(text, ' ') <> ''")
+@query("parse_facts", f"SELECT fact_id, {_CATS} AS category, trim(text, ' ') AS text FROM (SELECT DISTINCT fact_id, category, text FROM extracted_facts) WHERE category IS NOT NULL AND trim(text, ' ') <> '' AND fact_id % 7 > 1")
 def parse_facts(s, d):
-    raw = once(s, d, "extracted_facts", "fact_id").select("fact_id", F.to_json(F.array(F.struct("category", "text"))).alias("raw"))
-    return raw.select("fact_id", F.explode(cv.parsed_facts(F.col("raw"))).alias("f")).select("fact_id", "f.category", "f.text")
+    """Every seventh reply is no JSON, every other seventh no list."""
+    item = F.struct("category", "text")
+    raw = F.when(F.col("fact_id") % 7 == 0, "no facts here").when(F.col("fact_id") % 7 == 1, F.to_json(F.struct(F.lit("x").alias("note")))).otherwise(F.to_json(F.array(item)))
+    own = once(s, d, "extracted_facts", "fact_id").select("fact_id", raw.alias("raw"))
+    return own.select("fact_id", F.explode(cv.parsed_facts(F.col("raw"))).alias("f")).select("fact_id", "f.category", "f.text")
 
 
 _SET = r"list_distinct(list_filter(string_split_regex(lower({x}), '[ \t\n\r\f\v]+'), lambda w: w <> ''))"
@@ -479,6 +485,12 @@ def schema_catalogue(s, d):
     return schemas.catalogue(s)
 
 
+@query("schema_domains", "SELECT domain, CAST(types AS INTEGER) AS types FROM (VALUES ('agent', 4), ('code', 4), ('collab', 4), ('conv', 3), ('creative', 4), ('customer', 4), ('km', 4), ('research', 4)) AS t(domain, types)")
+def schema_domains(s, d):
+    """How many record types each domain declares."""
+    return schemas.catalogue(s).select(F.split_part("type", F.lit("."), F.lit(1)).alias("domain"), "type").distinct().groupBy("domain").agg(F.count("*").cast("int").alias("types"))
+
+
 @query("schema_violations", "SELECT count(*) AS n FROM (SELECT DISTINCT * FROM extracted_facts) WHERE text IS NULL OR user_id IS NULL OR (category IS NOT NULL AND category NOT IN ('identity', 'preference', 'relationship', 'goal', 'location', 'other'))")
 def schema_violations(s, d):
     none = F.lit(None).cast("string")
@@ -519,9 +531,13 @@ def prune_edges(s, d):
     return gr.prune(_edges(s, d), 20000, strength=0.0003, idle=8000).select("source_id", "target_id")
 
 
-@query("isolated_nodes", f"SELECT id FROM {_NODES} WHERE node_type NOT IN ('sensor', 'output') AND id NOT IN (SELECT source_id FROM {_EDGES} UNION ALL SELECT target_id FROM {_EDGES})")
+_SOME = f"(SELECT * FROM {_EDGES} WHERE (source_id + target_id) % 40 = 0)"
+
+
+@query("isolated_nodes", f"SELECT id FROM {_NODES} WHERE node_type NOT IN ('sensor', 'output') AND id NOT IN (SELECT source_id FROM {_SOME} UNION ALL SELECT target_id FROM {_SOME})")
 def isolated_nodes(s, d):
-    return gr.isolated(_nodes(s, d), _edges(s, d)).select("id")
+    """On a graph that lost most edges."""
+    return gr.isolated(_nodes(s, d), _edges(s, d).where("(source_id + target_id) % 40 = 0")).select("id")
 
 
 @query("degrees", f"SELECT coalesce(a.id, b.id) AS id, coalesce(outs, 0) AS outs, coalesce(ins, 0) AS ins FROM (SELECT source_id AS id, count(*) AS outs FROM {_EDGES} GROUP BY 1) a FULL JOIN (SELECT target_id AS id, count(*) AS ins FROM {_EDGES} GROUP BY 1) b ON a.id = b.id")
@@ -529,9 +545,10 @@ def degrees(s, d):
     return gr.degrees(_edges(s, d))
 
 
-@query("hebbian_update", f"SELECT source_id, target_id, round(greatest(-5, least(5, weight * 0.999::DOUBLE + 0.01::DOUBLE * coalesce(a.activation, 0) * coalesce(b.activation, 0))), 6) AS weight FROM {_EDGES} e LEFT JOIN {_NODES} a ON a.id = source_id LEFT JOIN {_NODES} b ON b.id = target_id")
+@query("hebbian_update", f"SELECT source_id, target_id, round(CASE WHEN a.activation IS NULL OR b.activation IS NULL THEN weight ELSE greatest(-5, least(5, CASE WHEN abs(a.activation) > 0.1 AND abs(b.activation) > 0.1 THEN weight * 0.999::DOUBLE + 0.01::DOUBLE * abs(a.activation) * abs(b.activation) ELSE weight END)) END, 6) AS weight, round(CASE WHEN a.activation IS NULL OR b.activation IS NULL THEN strength ELSE 0.999::DOUBLE * strength + (1 - 0.999::DOUBLE) * abs(a.activation) END, 6) AS strength FROM {_EDGES} e LEFT JOIN (SELECT * FROM {_NODES} WHERE id % 10 <> 0) a ON a.id = source_id LEFT JOIN (SELECT * FROM {_NODES} WHERE id % 10 <> 0) b ON b.id = target_id")
 def hebbian_update(s, d):
-    return gr.hebbian(_edges(s, d), _nodes(s, d)).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+    """Every tenth node is silent."""
+    return gr.hebbian(_edges(s, d), _nodes(s, d).where("id % 10 <> 0"), threshold=0.1).select("source_id", "target_id", F.round("weight", 6).alias("weight"), F.round("strength", 6).alias("strength"))
 
 
 @query("homeostatic_gain", f"SELECT id, round(CASE WHEN activation > 0.6 THEN 0.999::DOUBLE WHEN activation < 0.4 THEN 1.001::DOUBLE ELSE 1.0::DOUBLE END, 6) AS gain FROM {_NODES}")
@@ -565,10 +582,10 @@ def linear_chains(s, d):
 
 @query("wave_levels", f"SELECT CAST(n AS INTEGER) AS wave, count(*) AS nodes FROM (SELECT row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS m FROM events) WHERE m > 1 GROUP BY n")
 def wave_levels(s, d):
-    return gr.waves(_steps(s, d), 64).groupBy("wave").agg(F.count("*").alias("nodes"))
+    return gr.waves(_steps(s, d)).groupBy("wave").agg(F.count("*").alias("nodes"))
 
 
-@query("topological_order")
+@query("topological_order", "SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS component, event_id AS id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS place FROM (SELECT *, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM events) WHERE n > 1")
 def topological_order(s, d):
     e = table(s, d, "events")
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("event_id")
@@ -634,14 +651,24 @@ def moving_average(s, d):
     return e.groupBy("user_id", "day").agg(F.round(sq.exponential_mean(sq.blocks(e, [], "event_id", F.col("value")), 0.1), 6).alias("ema"))
 
 
-@query("rate_limit")
+_BUCKET = """WITH RECURSIVE o AS (SELECT {g}, epoch(ts) AS t, row_number() OVER (PARTITION BY {g} ORDER BY {o}) AS i FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)),
+r AS (SELECT {g}, i, t, {b} - 1.0::DOUBLE AS tokens, CAST(1 AS {n}) AS allowed, CAST(0 AS {n}) AS denied FROM o WHERE i = 1
+UNION ALL SELECT {rg}, i, t, CASE WHEN x >= 1 THEN x - 1 ELSE x END, allowed + CAST(x >= 1 AS {n}), denied + CAST(x < 1 AS {n})
+FROM (SELECT {rq}, o.i, greatest(o.t, r.t) AS t, r.allowed, r.denied, least({b}::DOUBLE, r.tokens + greatest(0.0::DOUBLE, o.t - r.t) / 3600) AS x FROM r JOIN o ON {j} AND o.i = r.i + 1))
+SELECT {g}, max(allowed) AS allowed, max(denied) AS denied FROM r GROUP BY ALL"""
+
+
+@query("rate_limit", _BUCKET.format(g="user_id, day", rg="user_id, day", rq="r.user_id, r.day", o="event_id", b="2.0", n="INTEGER", j="o.user_id = r.user_id AND o.day = r.day"))
 def rate_limit(s, d):
     e = table(s, d, "events").withColumn("day", F.to_date("ts"))
     seconds = F.col("ts").cast("timestamp").cast("double")
     return e.groupBy("user_id", "day").agg(sq.token_bucket(sq.blocks(e, [], "event_id", seconds), 1 / 3600, 2.0).alias("b")).select("user_id", "day", "b.allowed", "b.denied")
 
 
-@query("spike_multiplier")
+@query("spike_multiplier", """WITH RECURSIVE o AS (SELECT event_type, day, value, row_number() OVER (PARTITION BY event_type, day ORDER BY event_id) AS i FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)),
+r AS (SELECT event_type, day, i, value::DOUBLE AS mean, 1.0::DOUBLE AS m FROM o WHERE i = 1
+UNION ALL SELECT r.event_type, r.day, o.i, 0.9::DOUBLE * r.mean + 0.1::DOUBLE * o.value, CASE WHEN o.value > 2 * r.mean THEN r.m * 0.5::DOUBLE ELSE least(1.0::DOUBLE, r.m * 1.05::DOUBLE) END FROM r JOIN o ON o.event_type = r.event_type AND o.day = r.day AND o.i = r.i + 1)
+SELECT event_type, day, round(arg_max(m, i), 6) AS multiplier FROM r GROUP BY ALL""")
 def spike_multiplier(s, d):
     e = table(s, d, "events").withColumn("day", F.to_date("ts"))
     return e.groupBy("event_type", "day").agg(F.round(sq.spike_multiplier(sq.blocks(e, [], "event_id", F.col("value"))), 6).alias("multiplier"))
@@ -671,13 +698,13 @@ def session_windows(s, d):
     return jobs.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("stream_late")
+@query("stream_late", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL HAVING date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def stream_late(s, d):
     """Append mode: only windows that the watermark has closed."""
-    return jobs.drain(jobs.tumbling(jobs.event_stream(s, f"{d}/events.parquet")))
+    return jobs.drain(jobs.tumbling(jobs.event_stream(s, f"{d}/events.parquet"))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", _BUCKET.format(g="user_id", rg="user_id", rq="r.user_id", o="ts", b="5.0", n="BIGINT", j="o.user_id = r.user_id"))
 def stream_rate_limit(s, d):
     out = shared_path(s, "streams")
     q = jobs.limited(jobs.event_stream(s, f"{d}/events.parquet"), 1 / 3600, 5.0).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()

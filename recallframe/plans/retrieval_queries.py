@@ -80,10 +80,10 @@ def session_flatten(s, d):
 
 
 @query("bullet_items", r"""WITH l AS (SELECT prediction_id, string_split_regex(hypothesis, '\r?\n') AS ls FROM (SELECT DISTINCT * FROM qa_compare) WHERE hypothesis IS NOT NULL),
-m AS (SELECT prediction_id, ls, list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]\s*(.+?)\s*$')), lambda x: trim(regexp_replace(regexp_extract(x, '^\s*[-*•]\s*(.+?)\s*$', 1), '^["'']+|["'']+$', '', 'g'), ' ')) AS b FROM l)
-SELECT prediction_id, CAST(len(CASE WHEN len(b) > 0 THEN b ELSE list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: regexp_matches(x, '[\p{L}\p{N}]') AND length(x) < 200) END) AS INTEGER) AS items FROM m""")
+m AS (SELECT prediction_id, ls, list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]\s*(.+?)\s*$')), lambda x: trim(trim(trim(regexp_extract(x, '^\s*[-*•]\s*(.+?)\s*$', 1), ' '), '"'), '''')), lambda x: x <> '') AS b FROM l)
+SELECT prediction_id, array_to_string(CASE WHEN len(b) > 0 THEN b ELSE list_transform(list_filter(list_transform(ls, lambda x: trim(x, ' ')), lambda x: x <> '' AND length(x) < 200), lambda x: trim(trim(x, '"'), '''')) END, '|') AS items FROM m""")
 def bullet_items(s, d):
-    return once(s, d, "qa_compare", "prediction_id").where("hypothesis is not null").select("prediction_id", F.size(tx.bullets(F.col("hypothesis"))).alias("items"))
+    return once(s, d, "qa_compare", "prediction_id").where("hypothesis is not null").select("prediction_id", F.array_join(tx.bullets(F.col("hypothesis")), "|").alias("items"))
 
 
 _IDK = " OR ".join(f"contains(lower(trim(hypothesis)), '{p.replace(chr(39), chr(39) * 2)}')" for p in tx.UNKNOWING)
@@ -99,9 +99,12 @@ def verdicts(s, d):
     return once(s, d, "developmental_test", "result_id").select("result_id", tx.verdict(F.col("answer")).alias("verdict"))
 
 
-@query("judge_json", "SELECT prediction_id, coalesce(hit_at_k = 1, false) AS matched FROM (SELECT DISTINCT * FROM qa_compare)")
+@query("judge_json", "SELECT prediction_id, coalesce(hit_at_k = 1 AND prediction_id % 5 <> 0, false) AS matched FROM (SELECT DISTINCT * FROM qa_compare)")
 def judge_json(s, d):
-    raw = F.concat(F.lit("```json\n{\"match\": "), F.when(F.col("hit_at_k") == 1, "true").otherwise("\"false\""), F.lit("}\n```"))
+    """Fenced and bare replies; every fifth is no JSON."""
+    match = F.concat(F.lit("{\"match\": "), F.when(F.col("hit_at_k") == 1, "true").otherwise("\"false\""), F.lit("}"))
+    p = F.col("prediction_id") % 5
+    raw = F.when(p == 0, "it does match: true").when(p == 1, match).otherwise(F.concat(F.lit("```json\n"), match, F.lit("\n```")))
     return once(s, d, "qa_compare", "prediction_id").select("prediction_id", tx.judged(raw).alias("matched"))
 
 
@@ -129,11 +132,13 @@ def import_preset(s, d):
     return importers.preset(raw, "zep").select("text", F.get_json_object("metadata", "$.source").alias("source"), F.get_json_object("metadata", "$.role").alias("role"))
 
 
-@query("embedding_cache", "SELECT count(*) AS n FROM (SELECT DISTINCT text FROM extracted_facts WHERE text IS NOT NULL)")
+@query("embedding_cache", "SELECT DISTINCT sha256(text) AS sha, length(text) % 2 = 0 AS held FROM extracted_facts WHERE text IS NOT NULL")
 def embedding_cache(s, d):
+    """Which vectors came from the cache (those of one place) and which were made."""
     texts = table(s, d, "extracted_facts").where("text is not null").select("text")
-    held = importers.hashed_embedding(texts.where("length(text) % 2 = 0").select(F.sha2("text", 256).alias("sha"), "text").dropDuplicates(["sha"]))
-    return importers.cached_embeddings(texts, held, importers.hashed_embedding).agg(F.count("*").alias("n"))
+    mark = F.array(F.lit(9.0)).cast("array<float>")
+    held = texts.where("length(text) % 2 = 0").select(F.sha2("text", 256).alias("sha")).distinct().withColumn("vector", mark)
+    return importers.cached_embeddings(texts, held, importers.hashed_embedding).select("sha", (F.size("vector") == 1).alias("held"))
 
 
 # ------------------------------------------------------------------ filters
@@ -141,7 +146,7 @@ def _requests(s, d):
     return once(s, d, "store_requests", "request_id").select("request_id", "metadata")
 
 
-_J = "(SELECT request_id, CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.lang') END AS lang, CASE WHEN json_valid(metadata) THEN TRY_CAST(json_extract_string(metadata, '$.turn') AS DOUBLE) END AS turn FROM (SELECT DISTINCT * FROM store_requests))"
+_J = "(SELECT request_id, CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.lang') END AS lang, CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.source') END AS source, CASE WHEN json_valid(metadata) THEN TRY_CAST(json_extract_string(metadata, '$.turn') AS DOUBLE) END AS turn FROM (SELECT DISTINCT * FROM store_requests))"
 for _name, _where, _sql in (
     ("where_eq", {"lang": "en"}, "lang = 'en'"),
     ("where_ne", {"lang": {"$ne": "en"}}, "lang IS NOT NULL AND lang <> 'en'"),
@@ -150,7 +155,7 @@ for _name, _where, _sql in (
     ("where_nin", {"lang": {"$nin": ["de", "fr"]}}, "lang IS NULL OR lang NOT IN ('de', 'fr')"),
     ("where_null", {"lang": None}, "lang IS NULL"),
     ("where_mixed", {"lang": "en", "turn": {"$gt": 3}}, "lang = 'en' AND turn > 3"),
-    ("where_type_mismatch", {"turn": {"$gt": "3"}}, "false"),
+    ("where_type_mismatch", {"source": {"$ne": 3}}, "source IS NOT NULL"),
     ("where_empty", {"lang": {}}, "true"),
 ):
     query(_name, f"SELECT request_id FROM {_J} WHERE {_sql}")(lambda s, d, w=_where: _requests(s, d).where(wh.compile_where(w, F.col("metadata"))).select("request_id"))
@@ -256,14 +261,14 @@ def ann_hyperplanes(s, d):
 @query("ann_cells")
 def ann_cells(s, d):
     v = _vectors(s, d)
-    index, centres = retrieval.cell_index(v)
+    index, centres = retrieval.cell_index(v, retrieval.bounded_cells(v.count()))
     return retrieval.cell_search(index, centres, _asked(v), 10, probes=6)
 
 
 @query("ann_recall")
 def ann_recall(s, d):
     v = _vectors(s, d)
-    index, centres = retrieval.cell_index(v)
+    index, centres = retrieval.cell_index(v, retrieval.bounded_cells(v.count()))
     exact = retrieval.top_k(_asked(v), v.select("id", "vector"), 10, same=True)
     return retrieval.recall(retrieval.cell_search(index, centres, _asked(v), 10, probes=6), exact)
 

@@ -67,10 +67,53 @@ def preset(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(F.trim(text).alias("text"), F.to_json(named).alias("metadata")).where("text <> ''")
 
 
-def markdown_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, text of all Markdown files below a folder."""
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def markdown_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """path, text of all Markdown files below some folders, each file once, in order of paths; files that are no UTF-8 are left out."""
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(list(roots))
+    read = whole.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null")
+    return read.dropDuplicates(["path"]).orderBy("path")
+
+
+def locomo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Turns (sample_id, session, date_time, dia_id, speaker, text) and questions (sample_id, question, answer, evidence, category) of long dialogues.
+
+    Sessions are fields named session_1, session_2, .. with a date beside them; an adversarial answer stands in for a missing one.
+    """
+    raw = json_records(spark, path).select("raw", F.get_json_object("raw", "$.sample_id").alias("sample_id"))
+    parts = F.from_json(F.get_json_object("raw", "$.conversation"), "map<string,string>")
+    each = raw.select("sample_id", F.explode(parts).alias("k", "v"))
+    dates = each.where(F.rlike("k", F.lit("^session_[0-9]+_date_time$"))).select("sample_id", F.regexp_extract("k", "[0-9]+", 0).cast("int").alias("session"), F.col("v").alias("date_time"))
+    sessions = each.where(F.rlike("k", F.lit("^session_[0-9]+$"))).select("sample_id", F.regexp_extract("k", "[0-9]+", 0).cast("int").alias("session"), F.from_json("v", "array<struct<speaker:string,dia_id:string,text:string>>").alias("turns"))
+    turns = sessions.select("sample_id", "session", F.explode("turns").alias("t")).select("sample_id", "session", "t.*").join(dates, ["sample_id", "session"], "left").withColumn("date_time", F.coalesce("date_time", F.lit("")))
+    asked = F.from_json(F.get_json_object("raw", "$.qa"), "array<struct<question:string,answer:string,adversarial_answer:string,evidence:array<string>,category:int>>")
+    qa = raw.select("sample_id", F.explode(asked).alias("q")).select("sample_id", "q.question", F.coalesce("q.answer", "q.adversarial_answer", F.lit("")).alias("answer"), "q.evidence", "q.category")
+    return turns, qa
+
+
+def longmemeval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Questions (question_id, question_type, question, answer, question_date, answer_session_ids) and their sessions' turns (question_id, place, session_id, date, turn, role, content)."""
+    schema = "question_id string, question_type string, question string, answer string, question_date string, haystack_dates array<string>, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>, answer_session_ids array<string>"
+    r = json_records(spark, path).select(F.from_json("raw", schema).alias("r")).select("r.*")
+    questions = r.select("question_id", "question_type", "question", "answer", F.coalesce("question_date", F.lit("")).alias("question_date"), F.coalesce("answer_session_ids", F.array().cast("array<string>")).alias("answer_session_ids"))
+    zipped = F.arrays_zip(F.coalesce("haystack_session_ids", F.array().cast("array<string>")).alias("session_id"), F.coalesce("haystack_dates", F.array().cast("array<string>")).alias("date"), F.col("haystack_sessions").alias("turns"))
+    sessions = r.select("question_id", F.posexplode(zipped).alias("place", "h")).select("question_id", "place", "h.session_id", "h.date", F.posexplode("h.turns").alias("turn", "t"))
+    return questions, sessions.select("question_id", "place", "session_id", "date", "turn", "t.role", "t.content")
+
+
+def scale_corpus(spark: SparkSession, n: int, topics: int = 100, words: tuple[str, ...] = ("river", "stone", "cloud", "maple", "copper", "harbour", "lantern", "meadow"), each: int = 5) -> DataFrame:
+    """id, topic, text of ``n`` made documents ``doc 0000001 about topic_1: ..``, topics dealt evenly, words by the document's number."""
+    some = F.array(*map(F.lit, words))
+    picked = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.get(some, F.pmod((F.col("id") + 1) * 7919 + (i + 1) * (F.col("id") % 13 + 1) * 31, F.lit(len(words))).cast("int")))
+    text = F.format_string("doc %07d about topic_%d: %s", F.col("id"), F.col("id") % topics, F.array_join(picked, " "))
+    return spark.range(n).select("id", (F.col("id") % topics).alias("topic"), text.alias("text"))
+
+
+def templated(spark: SparkSession, templates: list[str], **slots: list[str]) -> DataFrame:
+    """id, text of every template with every combination of the slots' values, each text once."""
+    out = spark.createDataFrame([(t,) for t in templates], "text string")
+    for name, values in slots.items():  # lists written by hand
+        out = out.withColumn("_v", F.explode(F.array(*map(F.lit, values)))).withColumn("text", F.replace("text", F.lit("{" + name + "}"), F.col("_v"))).drop("_v")
+    return out.distinct().select(F.xxhash64("text").alias("id"), "text")
 
 
 def token_windows(ids: DataFrame, context: int, target: int, stride: int) -> DataFrame:
