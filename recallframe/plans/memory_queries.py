@@ -710,4 +710,4 @@ def stream_rate_limit(s, d):
     q = jobs.limited(jobs.event_stream(s, f"{d}/events.parquet"), 1 / 3600, 5.0).writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = s.read.parquet(f"{out}/rows")
-    return rows.groupBy("user_id").agg(F.max("allowed").alias("allowed"), F.max("denied").alias("denied"))
+    return rows.groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))

@@ -53,12 +53,19 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def limited(events: DataFrame, rate: float, burst: float) -> DataFrame:
-    """user_id, allowed, denied so far per key: a token bucket kept as streaming state."""
+def limited(events: DataFrame, rate: float, burst: float, idle: float = 300.0, late: str = "1 hour") -> DataFrame:
+    """user_id, allowed, denied per key and batch: a token bucket kept as streaming state.
+
+    A key's state goes once it has been idle so long that its bucket is full again
+    (``idle`` seconds at least), so a returning key finds what it would have had.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last, allowed, denied = state.get if state.exists else (float(burst), None, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (tokens, last), allowed, denied = state.get if state.exists else (float(burst), None), 0, 0
         times = sorted(t.timestamp() for pdf in batches for t in pdf["ts"])
         for t in times:
             tokens = min(burst, tokens + max(0.0, t - last) * rate) if last is not None else tokens
@@ -67,11 +74,14 @@ def limited(events: DataFrame, rate: float, burst: float) -> DataFrame:
                 tokens, allowed = tokens - 1, allowed + 1
             else:
                 denied += 1
-        state.update((tokens, last, allowed, denied))
+        state.update((tokens, last))
+        if last is not None:
+            end = int(1000 * (last + max(idle, (burst - tokens) / rate)))
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "allowed": [allowed], "denied": [denied]})
 
-    return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, allowed long, denied long", "tokens double, last double, allowed long, denied long", "update", GroupStateTimeout.NoTimeout
+    return events.select("user_id", "ts").withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, allowed long, denied long", "tokens double, last double", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -119,7 +119,7 @@ def test_fold(spark):
     log = spark.createDataFrame(ops, store.OPS)
     state = store.fold(store.before_damage(log))
     assert rows(state, "node_id", "text") == [("a", "one"), ("b", "again")]
-    assert state.where("node_id = 'a'").first()["patch"] == {"k": "1"}
+    assert state.where("node_id = 'a'").first()["metadata"] == '{"k":1}'
     assert rows(store.fold(log, 6), "node_id", "text") == [("a", "one"), ("b", "two")]
     assert store.fold(log.limit(0)).count() == 0
 
@@ -133,7 +133,17 @@ def test_memory_store(spark, tmp_path):
         m.update_metadata("none", "{}")
     m.update_metadata(ids[0], '{"a": 2}')
     assert m.forget(ids[1]) and not m.forget(ids[1]) and ids[0] in m
-    assert m.entries().count() == 1
+    assert m.entries().count() == 1 and m.get(ids[0])["metadata"] == '{"a":2}' and m.get(ids[1]) is None and len(m) == 1
+    at = m.compact()
+    assert m.append(spark.createDataFrame([("three", None), (" ", None)], "text string, metadata string")) == 1
+    m.update_metadata(ids[0], '{"b": [1]}')
+    assert len(m) == 2 and m.get(ids[0])["metadata"] == '{"a":2,"b":[1]}' and m.changed(at).count() == 2
+    with pytest.raises(ValueError):
+        m.entries(at - 1)
+    m.save(str(tmp_path / "saved"))
+    assert len(store.MemoryStore.load(spark, str(tmp_path / "saved"), str(tmp_path / "other"))) == 2
+    with pytest.raises(Exception):
+        store.read_snapshot(spark, str(tmp_path / "nowhere"))
     with pytest.raises(ValueError):
         store.MemoryStore(spark, str(tmp_path), "bad/name")
     m.dump(str(tmp_path / "dump"))
