@@ -123,8 +123,8 @@ class Grades:
         """Quantiles over words and over sentences, and the share of known words; ``level``: the text's own, to be taken out."""
         none = np.full(WIDTH, np.nan), 0.0
         get = self.index.get
-        size = np.array([len(own) for own in parts])
-        token = np.array([get(w, -1) for own in parts for w in own])
+        size = np.array([len(own) for own in parts], dtype=np.int64)
+        token = np.array([get(w, -1) for own in parts for w in own], dtype=np.int64)
         where = np.repeat(np.arange(len(parts)), size)[token >= 0]
         token = token[token >= 0]
         if not len(token):

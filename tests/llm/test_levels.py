@@ -25,3 +25,11 @@ def test_no_dense_document_is_lost(spark):
     german = {r["doc_id"] for r in docs.where("lang = 'de' and doc_type <> 'log' and text is not null").collect() if len(reading.RUN.findall(r["text"])) >= reading.LEAST_RUNS}
     got = {r["doc_id"] for r in reading.levels(docs, labels).collect()}
     assert not german - got
+
+
+def test_a_text_of_code_alone_has_no_features(spark):
+    grades = reading.Grades({"cat": (3, 0, 0, 0)}, [3, 1, 1, 1])
+    assert grades.features([])[1] == 0.0 and grades.features([["dog"]])[1] == 0.0
+    docs = spark.createDataFrame([(i, "the cat sees the hat and the dog. " * 9, "note") for i in range(8)] + [(9, "```\n" + "word " * 60 + "\n```", "note")], "doc_id long, text string, doc_type string")
+    labels = spark.createDataFrame([(i, "rater_a", 1 + i % 4) for i in range(8)], "doc_id long, rater string, level int")
+    assert {r["doc_id"] for r in reading.levels(docs, labels).collect()} == set(range(8))
