@@ -38,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallframe.llm.words import WORD
-from recallframe.session import cut, spread
+from recallframe.llm.words import FORMAT, WORD
+from recallframe.session import cut, spread, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -72,11 +72,13 @@ _SPELT_DOT = r"(?:\s+(?:dot|punkt|punto|point)\s+|\s*[\(\[\{]\s*(?:dot|punkt|pun
 _AT = r"(?:\s*@\s*|\s*[\(\[\{]\s*(?:at|arroba|arobase|ät)\s*[\)\]\}]\s*)"
 _LOCAL = r"(?<![\p{L}\p{N}._+\-])[\p{L}\p{N}](?:[\p{L}\p{N}._+\-]*[\p{L}\p{N}])?"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
+WORDS = re.compile(r"[^\W\d_]+")
+DIGITS = re.compile(r"\d")
 EMAIL = regex.compile(rf"(?i){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+|\s+(?:at|arroba|arobase)\s+{_LABEL}(?:{_SPELT_DOT}{_LABEL})+)")
 HAS_AT = regex.compile(r"(?i)@|\bat\b|arroba|arobase")
-NUMBER = regex.compile(r"(?<![\p{L}\p{N}+.\-/_#=])(?:\+\s?)?\(?\d(?:[ ]?[().\-/]?[ ]?\(?\d|\)[ ]?\d){6,17}(?![\p{L}\p{N}]|[.\-/]\d)")
-CODED = regex.compile(
-    r"(?i)(?<![\p{L}\p{N}\-_=/])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{8}[ -]?[A-Z]|\d\d[A-Z]{2}\d{5}|\d\d ?\d{6} ?[A-Z] ?\d{3}|[A-Z]\d[A-Z0-9]\d{6}|[A-Z]\d{2}[A-Z0-9]{6}\d?)(?![\p{L}\p{N}]|-\d)"
+NUMBER = re.compile(r"(?<![\w+.\-/#=])(?:\+\s?)?\(?\d(?:[ ]?[().\-/]?[ ]?\(?\d|\)[ ]?\d){6,17}(?![^\W_]|[.\-/]\d)")
+CODED = re.compile(
+    r"(?i)(?<![\w\-=/])(?:[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{8}[ -]?[A-Z]|\d\d[A-Z]{2}\d{5}|\d\d ?\d{6} ?[A-Z] ?\d{3}|[A-Z]\d[A-Z0-9]\d{6}|[A-Z]\d{2}[A-Z0-9]{6}\d?)(?![^\W_]|-\d)"
 )
 _POST = r"(?:\d{5}(?! ?\d)|[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}(?!\p{L}))"
 _TOWN = rf"(?:{_LETTER}[\p{{L}}'’]+(?:-{_LETTER}+)*(?: {_LETTER}[\p{{L}}'’]+(?:-{_LETTER}+)*){{0,2}})"
@@ -91,23 +93,34 @@ STREET = {
     "fr": regex.compile(rf"(?i)(?<![\p{{L}}\p{{N}}])\d{{1,4}}(?: (?:bis|ter))?,? +(?:rue|avenue|boulevard|bd|impasse|chemin|allée|place|quai|route|ruelle|square|cours|passage)(?!\p{{L}})(?: +(?:de la|de l['’]|des|du|de|d['’]|la|le|les))? *(?:{_L}(?:[ -]{_L}){{0,2}}?(?= *[,\n\r])|{_L}(?:-{_L})*)"),
     "es": regex.compile(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:calle|avenida|av\.|paseo|plaza|camino|ronda|carrera|travesía|c/)(?: +(?:de la|de los|de las|del|de|la|el))? *{_L}(?: +{_L}){{0,2}},? +\d{{1,4}}(?:, *{_DOOR})?(?![\p{{N}}])"),
 }
-HAS_STREET = regex.compile(rf"(?i)\b(?:{'|'.join(STREET_EN)}|rue|boulevard|bd|impasse|chemin|allée|place|quai|route|ruelle|cours|passage|calle|avenida|paseo|plaza|camino|ronda|carrera|travesía)\b|c/|av\.|(?:straße|strasse|weg|platz|gasse|allee|ring|damm|ufer|steig|stieg|graben|markt|hof)\b|str\.|\b(?:am|an der|im|zum|zur|auf de[mr]|in der) \p{{L}}+(?: \p{{L}}+)? +\d")
+_ENGLISH, _ROMANCE = frozenset(STREET_EN), frozenset(STREET_ROMANCE)
+_GERMAN = ("straße", "strasse", "weg", "platz", "gasse", "allee", "ring", "damm", "ufer", "steig", "stieg", "graben", "markt", "hof", "str")
+_BY = re.compile(r"(?i)\b(?:am|an der|im|zum|zur|auf de[mr]|in der) +[^\W\d_]+(?: [^\W\d_]+)? +\d")
+
+
+def street_languages(text: str) -> list[str]:
+    """Languages in which the text may hold a street: it has a number and one of their words."""
+    if not DIGITS.search(text):
+        return []
+    low = text.lower()
+    words_ = set(WORDS.findall(low))
+    romance = not words_.isdisjoint(_ROMANCE)
+    german = any(w.endswith(_GERMAN) for w in words_) or _BY.search(text)
+    return [k for k, has in (("en", not words_.isdisjoint(_ENGLISH)), ("de", german), ("fr", romance), ("es", romance or "c/" in low or "av." in low)) if has]
+
+
 AFTER = {
     "en": regex.compile(rf"(?i){_SEP}(?P<town>{_TOWN})(?:,?{_SEP}(?P<post>{_POST}))?"),
     "other": regex.compile(rf"(?i){_SEP}(?:(?P<post>\d{{5}}) +)?(?P<town>{_TOWN})"),
 }
 POST_ONLY = regex.compile(rf"(?i){_SEP}(?P<post>{_POST})")
 TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|\p{N}+|[^\s\p{L}\p{N}]")
-NAMEWORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’\-]\p{L}[\p{L}\p{M}]*)*")
-PLAINWORD = re.compile(r"[A-Za-z]+(?:['\-][A-Za-z]+)*")
-DIGITS = re.compile(r"\d")
+NAMEWORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+CAPITAL = re.compile(r"(?<![^\W\d_])(?<![^\W\d_]['’\-])(?=[^\W\d_])(?![a-zß-öø-ÿ])[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+INITIAL = re.compile(r"(?<![^\W\d_])[^\W\d_]\.")
 SPELT = ("dot", "punkt", "punto", "point")
 
 
-def name_words(text: str) -> Iterator:
-    return (PLAINWORD if text.isascii() else NAMEWORD).finditer(text)
-
-
 def may_mail(text: str) -> bool:
     return "@" in text or (any(w in text.lower() for w in SPELT) and bool(HAS_AT.search(text)))
 
@@ -117,7 +130,7 @@ LOG_LINE = regex.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ (?:[\w]+(?:=[\w.]+)?(
 
 def normalised(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     """NFKC without format characters, and for each of its characters the span in ``text`` (None: the same)."""
-    if text.isascii() or (unicodedata.is_normalized("NFKC", text) and not regex.search(r"\p{Cf}", text)):
+    if text.isascii() or (unicodedata.is_normalized("NFKC", text) and not FORMAT.search(text)):
         return text, None
     out, at, i = [], [], 0
     while i < len(text):
@@ -158,7 +171,7 @@ def affixes(family: dict[str, int]) -> tuple[set[str], set[str]]:
 
 # ---------------------------------------------------------------- candidates
 def _shape(text: str) -> str:
-    return regex.sub(r"\d", "9", regex.sub(r"\p{L}", "a", text))
+    return DIGITS.sub("9", WORDS.sub(lambda m: "a" * len(m.group()), text))
 
 
 def _fit_town(lex: Lexicon, town: str) -> str | None:
@@ -172,10 +185,8 @@ def _fit_town(lex: Lexicon, town: str) -> str | None:
 
 def addresses(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
-    if not HAS_STREET.search(text):
-        return out
-    for lang, pattern in STREET.items():
-        for m in pattern.finditer(text):
+    for lang in street_languages(text):
+        for m in STREET[lang].finditer(text):
             start, end, form = m.start(), m.end(), lang
             if lang == "es":  # the street's name may not swallow what follows a sentence end
                 if regex.search(r"[.!?]\s", m.group().rstrip(".")) and "av." not in m.group().lower():
@@ -210,7 +221,9 @@ def addresses(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
 
 def names(text: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """Given name or initial beside any word that may be a family name, in either order, with how well that is known."""
-    ms = [(m.start(), m.end(), m.group()) for m in name_words(text)]
+    if not INITIAL.search(text) and lex.given.isdisjoint(NAMEWORD.findall(text.lower())):
+        return []
+    ms = [(m.start(), m.end(), m.group()) for m in NAMEWORD.finditer(text)]
     lows = [w.lower() for _, _, w in ms]
     n = len(ms)
     initial = lambda i: len(ms[i][2]) == 1 and text[ms[i][1] : ms[i][1] + 1] == "."
@@ -648,43 +661,38 @@ def train(lex: Lexicon) -> Field:
 
 
 # ---------------------------------------------------------------- the corpus' lexicons
-def _evidence(text: str, given: set[str]) -> Iterator[tuple[str, str]]:
-    """What a text tells of words: l/u lower or upper case, t towns, f after a given name, g two capitalised words, i after an initial."""
+def _evidence(text: str, given: set[str]) -> set[str]:
+    """What a text tells of words, a letter for the kind before each: l/u lower or upper case, t towns, f after a given name,
+    g two capitalised words, i after an initial; h parts of joined names and p all that may be a town are only looked up."""
     if may_mail(text):
         text = EMAIL.sub(" @ ", text)
-    ms = [(m.start(), m.end(), m.group()) for m in name_words(text)]
-    last = -2
-    for i, (a, b, w) in enumerate(ms):
-        if w[0].islower():
-            yield "l", w.lower()
-            continue
-        yield "u", w.lower()
-        if last == i - 1 and w[0].isupper():
-            pa, pb, before = ms[i - 1]
-            between = text[pb:a]
+    own = {("l" if w[0].islower() else "u") + w.lower() for w in set(NAMEWORD.findall(text))}
+    own |= {"h" + part for w in own if "-" in w or "'" in w or "’" in w for part in JOINT.split(FORE.sub("", w[1:])) if part}
+    before = None
+    for m in CAPITAL.finditer(text):
+        if before is not None and m.start() - before.end() < 3:
+            between, a, b = text[before.end() : m.start()], before.group(), m.group()
             if between == " ":
-                if before.lower() in given:
-                    yield "f", w.lower()
-                elif len(before) > 1 and pa and text[pa - 1] == " " and text[b : b + 2] != ", ":
-                    yield "g", f"{before.lower()} {w.lower()}"  # within a sentence, so that openers are no names
-            elif between == ". " and len(before) == 1 and len(w) > 3:
-                yield "i", w.lower()
-        last = i
+                if a.lower() in given:
+                    own.add("f" + b.lower())
+                elif len(a) > 1 and before.start() and text[before.start() - 1] == " " and text[m.end() : m.end() + 2] != ", ":
+                    own.add(f"g{a.lower()} {b.lower()}")  # within a sentence, so that openers are no names
+            elif between == ". " and len(a) == 1 and len(b) > 3:
+                own.add("i" + b.lower())
+        before = m
     for lang, phrase, strong in _towns(text):
         parts = phrase.lower().split(" ")
-        if strong and lang == "en":  # the town ends where the postcode starts
-            yield "t", " ".join(parts)
-        elif strong:
-            for n in range(1, len(parts) + 1):
-                yield "t", " ".join(parts[:n])
+        heads = [" ".join(parts[:n]) for n in range(1, len(parts) + 1)]
+        own |= {"p" + x for x in heads}
+        if strong:  # an English town ends where the postcode starts
+            own |= {"t" + x for x in (heads[-1:] if lang == "en" else heads)}
+    return own
 
 
 def _towns(text: str) -> Iterator[tuple[str, str, bool]]:
     """(language, words, beside a postcode) of what stands behind a street."""
-    if not DIGITS.search(text) or not HAS_STREET.search(text):
-        return
-    for lang, pattern in STREET.items():
-        for m in pattern.finditer(text):
+    for lang in street_languages(text):
+        for m in STREET[lang].finditer(text):
             tail = AFTER["en" if lang == "en" else "other"].match(text, m.end())
             if tail:
                 yield lang, tail.group("town"), tail.group("post") is not None
@@ -699,23 +707,31 @@ class Lexicons(NamedTuple):
     tails: set[str]
 
 
-def lexicons(texts: DataFrame, given: list[str]) -> Lexicons:
-    """Counts over all texts, and the lexicons drawn from them, as tables."""
-    spark = texts.sparkSession
-    listed = {g.lower() for g in given if g}
-    shared = spark.sparkContext.broadcast(listed)
+def evidence(texts: DataFrame, given: list[str]) -> DataFrame:
+    """src, row_id, text, may (whether it has a digit, an e-mail's sign or an initial), own (its evidence), written once."""
+    shared = texts.sparkSession.sparkContext.broadcast({g.lower() for g in given if g})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: Counter = Counter()
+            may, own = [], []
             for t in pdf["text"]:
-                seen.update(set(_evidence(normalised(t)[0], shared.value)))
-            yield pd.DataFrame([(k, w, c) for (k, w), c in seen.items()], columns=["k", "w", "c"])
+                text = normalised(t)[0] if t else ""
+                may.append(bool(DIGITS.search(text)) or may_mail(text) or bool(INITIAL.search(text)))
+                own.append(list(_evidence(text, shared.value)))
+            yield pdf.assign(may=may, own=own)
+
+    return written(spread(texts.select("src", "row_id", "text")).mapInPandas(run, "src string, row_id long, text string, may boolean, own array<string>"))
+
 
-    counts = cut(texts.where("text is not null").select("text").mapInPandas(run, "k string, w string, c long").groupBy("k", "w").agg(F.sum("c").alias("c")))
+def lexicons(told: DataFrame, given: list[str]) -> Lexicons:
+    """Counts over all texts' evidence, and the lexicons drawn from them, as tables."""
+    spark = told.sparkSession
+    listed = {g.lower() for g in given if g}
+    each = told.select(F.explode(F.filter("own", lambda x: ~F.substring(x, 1, 1).isin("h", "p"))).alias("x"))
+    counts = cut(each.groupBy("x").agg(F.count("*").alias("c")).select(F.substring("x", 1, 1).alias("k"), F.substring("x", F.lit(2), F.length("x")).alias("w"), "c"))
     of = lambda k: counts.where(F.col("k") == k).select("w", "c")
     upper = of("u").withColumnRenamed("c", "u")
-    least = max(3, int(texts.count() * COMMON_SHARE))
+    least = max(3, int(told.count() * COMMON_SHARE))
     # at most 1 / COMMON_SHARE times the words of an average text; names are mostly capitalised
     common = {r["w"] for r in of("l").where(F.col("c") >= least).join(upper, "w", "left").where("2 * c >= coalesce(u, 0)").select("w").collect()}
     plain = F.broadcast(spark.createDataFrame([(w,) for w in sorted(common | PARTICLES)], "w string"))
@@ -783,39 +799,25 @@ class Finder:
         return out
 
 
-def fit(texts: DataFrame, given: DataFrame) -> tuple[Finder, DataFrame]:
-    """Lexicons from all texts, then the field from made sentences; the finder and the table of words."""
+def fit(texts: DataFrame, given: DataFrame) -> tuple[Finder, DataFrame, DataFrame]:
+    """Lexicons from all texts, then the field from made sentences: the finder, the texts with their evidence, the table of words."""
     names_ = [r[0] for r in given.select("given_name").where("given_name is not null").distinct().collect()]  # a list kept by hand
-    lex = lexicons(texts, names_)
-    own = taught(lex)
-    return Finder(Lexicon(set(), lex.common, {}, {}, lex.heads, lex.tails), train(own)), lex.table
+    told = evidence(texts, names_)
+    lex = lexicons(told, names_)
+    return Finder(Lexicon(set(), lex.common, {}, {}, lex.heads, lex.tails), train(taught(lex))), told, lex.table
 
 
 def _run(texts: DataFrame, given: DataFrame, schema: str, make, every: bool) -> DataFrame:
     """``make(rows, items)`` over the texts with their words looked up; without ``every`` only over texts that may hold an item."""
-    rows = cut(spread(texts.select("src", "row_id", "text")))
-    finder, table = fit(rows, given)
-    shared = texts.sparkSession.sparkContext.broadcast(finder)
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = shared.value.lex.common
-        for pdf in batches:
-            keys, worth = [], []
-            for t in pdf["text"]:
-                text = normalised(t)[0] if t else ""
-                rare = {w for w in {m.group().lower() for m in name_words(text)} if w not in common}
-                own = [*rare, *(p for w in rare if "-" in w or "'" in w or "’" in w for p in JOINT.split(FORE.sub("", w)) if p)]
-                for _, phrase, _ in _towns(text):
-                    parts = phrase.lower().split(" ")
-                    own += [" ".join(parts[:n]) for n in range(1, len(parts) + 1)]
-                keys.append(list(dict.fromkeys(own)))
-                worth.append(bool(own) or bool(DIGITS.search(text)) or may_mail(text))
-            out = pdf.assign(keys=keys)
-            yield out if every else out[worth]
-
-    asked = cut(rows.mapInPandas(ask, "src string, row_id long, text string, keys array<string>"))
-    looked = asked.select("src", "row_id", F.explode("keys").alias("w")).join(table, "w").groupBy("src", "row_id").agg(F.collect_list(F.struct("kind", "w", "n")).alias("known"))
-    named = asked.select("src", "row_id", "text").join(looked, ["src", "row_id"], "left")
+    finder, told, table = fit(texts, given)
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(finder)
+    common = F.broadcast(spark.createDataFrame([(w,) for w in sorted(finder.lex.common)], "w string"))  # bounded by its share of the texts
+    asked = told.select("src", "row_id", F.explode("own").alias("x")).where("substring(x, 1, 1) in ('l', 'u', 'h', 'p')").select("src", "row_id", F.substring("x", F.lit(2), F.length("x")).alias("w")).join(common, "w", "left_anti")
+    looked = asked.join(table, "w").groupBy("src", "row_id").agg(F.collect_set(F.struct("kind", "w", "n")).alias("known"))
+    named = told.select("src", "row_id", "text", "may").join(looked, ["src", "row_id"], "left")
+    if not every:
+        named = named.where(F.col("may") | F.exists("known", lambda x: x["kind"] == "g"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -824,7 +826,7 @@ def _run(texts: DataFrame, given: DataFrame, schema: str, make, every: bool) ->
                 known = {(r["kind"], r["w"], r["n"]) for own in part["known"] if own is not None for r in own}
                 yield make(part, shared.value.find(part["text"].tolist(), list(known)))
 
-    return named.mapInPandas(run, schema)
+    return named.select("src", "row_id", "text", "known").mapInPandas(run, schema)
 
 
 def find_items(texts: DataFrame, given: DataFrame) -> DataFrame:
