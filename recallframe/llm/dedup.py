@@ -13,8 +13,8 @@ Distances to fixed pivots concentrate: sentences of one mould differ in two word
 and lie equally far from every pivot.  Inside a range the join therefore also needs
 an equal key, one of the rarest words of both sets: with least overlap o two sets of
 sizes a and b share one of their a - o + 1 and b - o + 1 rarest words, two among one
-word more, and three among two more, so no match is lost.  Keys that many texts hold
-are split by a second, then by a third word.  Whatever remains is verified by the
+word more, and so on up to o, which is four at least, so no match is lost.  Keys that
+many texts hold are split by a second, a third and a fourth word.  Whatever remains is verified by the
 true distance.  ``head`` in the table holds these rarest words, so keys are made
 once, when a text is described, and by the JVM from then on.
 
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from recallframe.llm.words import words
 from recallframe.session import cut, spread, written
 
-PIVOTS, HOT_FROM, SMALLEST = 32, 400, 4  # two different sets of fewer than four words are never a match
+PIVOTS, HOT_FROM, SMALLEST = 32, 64, 4  # two different sets of fewer than four words are never a match
 #: A word's place in the order of rarity comes from its count where it is in this share of the texts, else from its hash.
 COMMON_SHARE, COMMON_FROM = 1 / 100_000, 50
 BUCKETS = 16
-TABLE = "src string, item_id long, pos long, n int, h1 long, h2 long, dist0 long, dist1 long, words array<long>"
+TABLE = "src string, item_id long, pos long, n int, h1 long, h2 long, dist0 long, dist1 long, dist2 long, dist3 long, words array<long>"
+DISTS = ["dist0", "dist1", "dist2", "dist3"]
+LEVELS = (2, 3, 4)
 KEY = ["src", "item_id", "pos"]
 BAND = "cast(floor(ln(n + 0.5) / ln(1.25)) as int)"  # two sizes that may match lie in the same or in neighbouring ranges
 
@@ -66,13 +68,14 @@ def describe(texts: DataFrame) -> DataFrame:
                 if not found:
                     continue
                 own = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in found], dtype=np.uint64))
-                counts = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=PIVOTS), 15).astype(np.uint8)
-                packed = (counts[0::2] | counts[1::2] << 4).tobytes()  # two distances a byte; capping keeps differences a lower bound
-                d0, d1 = (int.from_bytes(packed[i : i + 8], "little", signed=True) for i in (0, 8))
+                # a distance is so many bits of seven, so differences are counted as bits; capping keeps them a lower bound
+                counts = np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=PIVOTS), 7)
+                packed = ((1 << counts) - 1).astype(np.uint8).tobytes()
+                dists = [int.from_bytes(packed[i : i + 8], "little", signed=True) for i in (0, 8, 16, 24)]
                 name = xxhash.xxh3_128_digest(own.tobytes())
                 h1, h2 = (int.from_bytes(name[i : i + 8], "little", signed=True) for i in (0, 8))
-                out.append((src, item, pos, len(own), h1, h2, d0, d1, own.view(np.int64)))
-            yield pd.DataFrame(out, columns=["src", "item_id", "pos", "n", "h1", "h2", "dist0", "dist1", "words"])
+                out.append((src, item, pos, len(own), h1, h2, *dists, own.view(np.int64)))
+            yield pd.DataFrame(out, columns=["src", "item_id", "pos", "n", "h1", "h2", *DISTS, "words"])
 
     return spread(texts.select("src", "item_id", "pos", "text")).mapInPandas(run, TABLE)
 
@@ -87,7 +90,7 @@ def word_order(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_heads(table: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The table with ``band``, ``reach`` (words of which a match shares one) and ``head``, these and the two next rarest."""
+    """The table with ``band``, ``reach`` (words of which a match shares one) and ``head``, these and the three next rarest."""
     shared = table.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +104,7 @@ def with_heads(table: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFr
             flat = flat[np.lexsort((flat, often, row))]
             first = np.cumsum(size) - size
             reach = size - least_overlap(size, -(-4 * size // 5)) + 1
-            heads = [flat[i : i + k + 2] for i, k in zip(first, np.minimum(reach, size))]
+            heads = [flat[i : i + k + LEVELS[-1] - 1] for i, k in zip(first, np.minimum(reach, size))]
             yield pdf.assign(reach=reach.astype("int32"), head=heads)
 
     kept = table.where(f"n >= {SMALLEST}")
@@ -109,21 +112,22 @@ def with_heads(table: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFr
 
 
 def keys_of(table: DataFrame) -> DataFrame:
-    """``key`` (the words of the key in order) and the row's id, size and distances, once per key of the row."""
-    own = table.select(*KEY, "n", "dist0", "dist1", F.expr(TEXT_BUCKET).alias("tb"), "band", "reach", "head", F.explode(F.slice("head", F.lit(1), F.col("reach"))).alias("w"))
-    return own.withColumn("key", F.array("w")).drop("w")
+    """``kw`` (the words of the key in order), ``key`` (their hash; one word is its own), ``at`` (the place of its last word in the order of rarity) and the row's id, size and distances, once per key of the row."""
+    own = table.select(*KEY, "n", *DISTS, F.expr(TEXT_BUCKET).alias("tb"), "band", "reach", "head", F.posexplode(F.slice("head", F.lit(1), F.col("reach"))).alias("at", "w"))
+    return own.withColumn("kw", F.array("w")).withColumn("key", F.col("w")).drop("w")
 
 
 def split(keys: DataFrame, hot: DataFrame, level: int) -> DataFrame:
     """Rows of the keys in ``hot`` once per further rare word, all others as they are."""
-    further = F.explode(F.array_except(F.slice("head", F.lit(1), F.col("reach") + (level - 1)), "key"))
-    more = keys.join(hot, ["key", "src"], "left_semi").select("*", further.alias("w")).withColumn("key", F.array_sort(F.array_append("key", F.col("w")))).drop("w")
-    return keys.join(hot, ["key", "src"], "left_anti").unionByName(more.distinct())
+    further = F.posexplode(F.slice("head", F.lit(1), F.col("reach") + (level - 1))).alias("next", "w")
+    more = keys.join(hot, ["key", "src"], "left_semi").select("*", further).where("not array_contains(kw, w)")
+    more = more.withColumn("kw", F.array_sort(F.array_append("kw", F.col("w")))).withColumn("key", F.xxhash64("kw")).withColumn("at", F.greatest("at", "next")).drop("w", "next")
+    return keys.join(hot, ["key", "src"], "left_anti").unionByName(more.dropDuplicates([*KEY, "key"]))
 
 
 def refined(*sides: DataFrame) -> list[DataFrame]:
-    """The sides' keys, those that more than ``HOT_FROM`` rows of one range hold split on all sides alike, twice at most."""
-    for level in (2, 3):
+    """The sides' keys, those that more than ``HOT_FROM`` rows of one range hold split on all sides alike."""
+    for level in LEVELS:
         every = sides[0].select("key", "band", "src")
         for side in sides[1:]:
             every = every.unionByName(side.select("key", "band", "src"))
@@ -141,12 +145,14 @@ def nearby(keys: DataFrame) -> DataFrame:
 
 def joined(old: DataFrame, new: DataFrame, ordered: bool) -> DataFrame:
     """``src, a, b`` and the ranges of pairs with an equal key whose distances to no pivot rule a match out."""
-    side = lambda df, x: df.select("key", "band", "src", "tb", F.struct("item_id", "pos").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(f"dist{i}").alias(f"d{i}_{x}") for i in (0, 1)))
-    pivots = " + ".join(f"abs((shiftrightunsigned(d{h}_a, {4 * i}) & 15) - (shiftrightunsigned(d{h}_b, {4 * i}) & 15))" for h in (0, 1) for i in range(PIVOTS // 2))
-    bound = "n_a + n_b - 2 * cast(ceil((4 * (n_a + n_b)) / 9D - 1e-9) as int)"
+    side = lambda df, x: df.select("key", "band", "src", "tb", F.col("level").alias(f"level_{x}"), F.col("at").alias(f"at_{x}"), F.struct("item_id", "pos").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in DISTS))
+    pivots = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in DISTS)
+    overlap = "((4 * (n_a + n_b) + 8) div 9)"
+    placed = f"at_a <= n_a - {overlap} + level_a - 1 and at_b <= n_b - {overlap} + level_a - 1"  # the key lies among the words of which this pair must share as many
+    bound = f"n_a + n_b - 2 * {overlap}"
     order = "a < b and " if ordered else ""
     met = side(old, "a").join(side(nearby(new), "b").drop("tb"), ["key", "band", "src"])
-    return met.where(f"{order}5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and {pivots} <= {bound}").select("src", "a", "b", F.col("band").alias("band_a"), F.col("tb").alias("tb_a")).distinct()
+    return met.where(f"{order}5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and {placed} and {pivots} <= {bound}").select("src", "a", "b", F.col("band").alias("band_a"), F.col("tb").alias("tb_a")).distinct()
 
 
 def verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 
 def matches(table: DataFrame) -> DataFrame:
     """``src, a, b``: (item_id, pos) of an earlier and a later text of similarity 0.8 or more, of a table with heads."""
-    keys = written(refined(keys_of(table))[0].drop("reach", "head"))
+    keys = written(refined(keys_of(table))[0].withColumn("level", F.size("kw")).drop("reach", "head", "kw"))
     return verified(joined(keys, keys, True), table, table)
 
 
@@ -227,7 +233,7 @@ class History:
             some = some | ((F.col("band") == r["band"]) & F.col("bucket").isin(sorted(r["buckets"])))
         return held.where(some)
 
-    _KEYS = "src string, item_id long, pos long, n int, dist0 long, dist1 long, tb int, reach int, head array<long>, w long, band int, bucket int"
+    _KEYS = "src string, item_id long, pos long, n int, dist0 long, dist1 long, dist2 long, dist3 long, tb int, reach int, head array<long>, at int, w long, band int, bucket int"
     _TEXTS = f"{TABLE}, band int, bucket int"
 
     def check_and_append(self, batch: DataFrame) -> DataFrame:
@@ -241,10 +247,10 @@ class History:
         copies = cut(once.join(same, ["src", "h1", "h2"], "left_semi").select(*KEY))
         fresh = written(with_heads(once.drop("band", "bucket").join(copies, KEY, "left_anti"), order))
         new_keys = keys_of(fresh)
-        stored = self._read("keys", self._KEYS, nearby(new_keys).select("band", _bucket(F.col("key")[0]).alias("bucket")))
-        asked = new_keys.select(F.col("key")[0].alias("w"), "src").distinct()
-        old_keys = cut(stored.join(asked, ["w", "src"], "left_semi").withColumn("key", F.array("w")).drop("w", "bucket"))
-        old_keys, new_keys = refined(old_keys, new_keys)
+        stored = self._read("keys", self._KEYS, nearby(new_keys).select("band", _bucket(F.col("key")).alias("bucket")))
+        asked = new_keys.select(F.col("key").alias("w"), "src").distinct()
+        old_keys = cut(stored.join(asked, ["w", "src"], "left_semi").withColumn("kw", F.array("w")).withColumn("key", F.col("w")).drop("w", "bucket"))
+        old_keys, new_keys = (x.withColumn("level", F.size("kw")) for x in refined(old_keys, new_keys))
         pairs = cut(joined(old_keys, new_keys, False))
         texts = self._read("texts", self._TEXTS, pairs.select(F.col("band_a").alias("band"), F.col("tb_a").alias("bucket")))
         known = cut(verified(pairs, texts, fresh).select("src", "b.item_id", "b.pos").distinct())
@@ -253,7 +259,7 @@ class History:
         small = once.where(f"n < {SMALLEST}").join(copies, KEY, "left_anti").select(*KEY)
         accepted = cut(left.select(*KEY).join(inside, KEY, "left_anti").unionByName(small))
         self._append("texts", once.join(accepted, KEY, "left_semi"))
-        keys = keys_of(left.join(accepted, KEY, "left_semi")).withColumn("w", F.col("key")[0]).drop("key")
+        keys = keys_of(left.join(accepted, KEY, "left_semi")).withColumn("w", F.col("key")).drop("key", "kw")
         self._append("keys", keys.withColumn("bucket", _bucket(F.col("w"))))
         return described.select(*KEY).join(accepted, KEY, "left_anti")
 
