@@ -112,26 +112,35 @@ def with_heads(table: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFr
 
 
 def keys_of(table: DataFrame) -> DataFrame:
-    """``kw`` (the words of the key in order), ``key`` (their hash; one word is its own), ``at`` (the place of its last word in the order of rarity) and the row's id, size and distances, once per key of the row."""
+    """``key`` (a hash of the source and the key's words), ``at`` (the place of its last word in the order of rarity), ``level`` (its words) and the row's id, size and distances, once per key of the row."""
     own = table.select(*KEY, "n", *DISTS, F.expr(TEXT_BUCKET).alias("tb"), "band", "reach", "head", F.posexplode(F.slice("head", F.lit(1), F.col("reach"))).alias("at", "w"))
-    return own.withColumn("kw", F.array("w")).withColumn("key", F.col("w")).drop("w")
+    return own.withColumn("key", F.xxhash64("w", "src")).withColumn("level", F.lit(1)).drop("w")
 
 
 def split(keys: DataFrame, hot: DataFrame, level: int) -> DataFrame:
-    """Rows of the keys in ``hot`` once per further rare word, all others as they are."""
-    further = F.posexplode(F.slice("head", F.lit(1), F.col("reach") + (level - 1))).alias("next", "w")
-    more = keys.join(hot, ["key", "src"], "left_semi").select("*", further).where("not array_contains(kw, w)")
-    more = more.withColumn("kw", F.array_sort(F.array_append("kw", F.col("w")))).withColumn("key", F.xxhash64("kw")).withColumn("at", F.greatest("at", "next")).drop("w", "next")
-    return keys.join(hot, ["key", "src"], "left_anti").unionByName(more.dropDuplicates([*KEY, "key"]))
+    """Rows of the keys in ``hot`` once per further rare word, all others as they are.
+
+    Words join in the order of rarity only: the words that two texts share come in that
+    order too, so the key of the first of them is among both texts' keys, without doubles.
+    """
+    last = F.least(F.size("head"), F.col("reach") + (level - 1)) - 1
+    places = F.when(F.col("hot").isNull(), F.array(F.lit(-1))).when(last > F.col("at"), F.sequence(F.col("at") + 1, last)).otherwise(F.array().cast("array<int>"))
+    met = keys.join(hot.select("key", F.lit(True).alias("hot")), "key", "left").withColumn("next", F.explode(places))
+    longer = F.col("next") >= 0
+    met = met.withColumn("key", F.when(longer, F.xxhash64("key", F.get("head", F.col("next")))).otherwise(F.col("key")))
+    return met.withColumn("at", F.greatest("at", "next")).withColumn("level", F.when(longer, F.lit(level)).otherwise(F.col("level"))).drop("hot", "next")
 
 
 def refined(*sides: DataFrame) -> list[DataFrame]:
-    """The sides' keys, those that more than ``HOT_FROM`` rows of one range hold split on all sides alike."""
+    """The sides' keys, those that more than ``HOT_FROM`` rows of one range hold split on all sides alike.
+
+    The hot keys are a written table, so that the planner broadcasts them only if their size allows.
+    """
     for level in LEVELS:
-        every = sides[0].select("key", "band", "src")
+        every = sides[0].select("key", "band")
         for side in sides[1:]:
-            every = every.unionByName(side.select("key", "band", "src"))
-        hot = cut(every.groupBy("key", "band", "src").agg(F.count("*").alias("c")).where(F.col("c") > HOT_FROM).select("key", "src").distinct())
+            every = every.unionByName(side.select("key", "band"))
+        hot = written(every.groupBy("key", "band").agg(F.count("*").alias("c")).where(F.col("c") > HOT_FROM).select("key").distinct())
         if hot.isEmpty():
             break
         sides = tuple(split(side, hot, level) for side in sides)
@@ -145,13 +154,13 @@ def nearby(keys: DataFrame) -> DataFrame:
 
 def joined(old: DataFrame, new: DataFrame, ordered: bool) -> DataFrame:
     """``src, a, b`` and the ranges of pairs with an equal key whose distances to no pivot rule a match out."""
-    side = lambda df, x: df.select("key", "band", "src", "tb", F.col("level").alias(f"level_{x}"), F.col("at").alias(f"at_{x}"), F.struct("item_id", "pos").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in DISTS))
+    side = lambda df, x: df.select("key", "band", *(["src", "tb"] if x == "a" else []), F.col("level").alias(f"level_{x}"), F.col("at").alias(f"at_{x}"), F.struct("item_id", "pos").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in DISTS))
     pivots = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in DISTS)
     overlap = "((4 * (n_a + n_b) + 8) div 9)"
     placed = f"at_a <= n_a - {overlap} + level_a - 1 and at_b <= n_b - {overlap} + level_a - 1"  # the key lies among the words of which this pair must share as many
     bound = f"n_a + n_b - 2 * {overlap}"
     order = "a < b and " if ordered else ""
-    met = side(old, "a").join(side(nearby(new), "b").drop("tb"), ["key", "band", "src"])
+    met = side(old, "a").join(side(nearby(new), "b"), ["key", "band"])
     return met.where(f"{order}5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and {placed} and {pivots} <= {bound}").select("src", "a", "b", F.col("band").alias("band_a"), F.col("tb").alias("tb_a")).distinct()
 
 
@@ -164,7 +173,7 @@ def verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 
 def matches(table: DataFrame) -> DataFrame:
     """``src, a, b``: (item_id, pos) of an earlier and a later text of similarity 0.8 or more, of a table with heads."""
-    keys = written(refined(keys_of(table))[0].withColumn("level", F.size("kw")).drop("reach", "head", "kw"))
+    keys = written(refined(keys_of(table))[0].drop("reach", "head"))
     return verified(joined(keys, keys, True), table, table)
 
 
@@ -233,7 +242,7 @@ class History:
             some = some | ((F.col("band") == r["band"]) & F.col("bucket").isin(sorted(r["buckets"])))
         return held.where(some)
 
-    _KEYS = "src string, item_id long, pos long, n int, dist0 long, dist1 long, dist2 long, dist3 long, tb int, reach int, head array<long>, at int, w long, band int, bucket int"
+    _KEYS = "src string, item_id long, pos long, n int, dist0 long, dist1 long, dist2 long, dist3 long, tb int, reach int, head array<long>, at int, key long, band int, bucket int"
     _TEXTS = f"{TABLE}, band int, bucket int"
 
     def check_and_append(self, batch: DataFrame) -> DataFrame:
@@ -248,9 +257,8 @@ class History:
         fresh = written(with_heads(once.drop("band", "bucket").join(copies, KEY, "left_anti"), order))
         new_keys = keys_of(fresh)
         stored = self._read("keys", self._KEYS, nearby(new_keys).select("band", _bucket(F.col("key")).alias("bucket")))
-        asked = new_keys.select(F.col("key").alias("w"), "src").distinct()
-        old_keys = cut(stored.join(asked, ["w", "src"], "left_semi").withColumn("kw", F.array("w")).withColumn("key", F.col("w")).drop("w", "bucket"))
-        old_keys, new_keys = (x.withColumn("level", F.size("kw")) for x in refined(old_keys, new_keys))
+        old_keys = cut(stored.join(new_keys.select("key").distinct(), "key", "left_semi").withColumn("level", F.lit(1)).drop("bucket"))
+        old_keys, new_keys = refined(old_keys, new_keys)
         pairs = cut(joined(old_keys, new_keys, False))
         texts = self._read("texts", self._TEXTS, pairs.select(F.col("band_a").alias("band"), F.col("tb_a").alias("bucket")))
         known = cut(verified(pairs, texts, fresh).select("src", "b.item_id", "b.pos").distinct())
@@ -259,8 +267,8 @@ class History:
         small = once.where(f"n < {SMALLEST}").join(copies, KEY, "left_anti").select(*KEY)
         accepted = cut(left.select(*KEY).join(inside, KEY, "left_anti").unionByName(small))
         self._append("texts", once.join(accepted, KEY, "left_semi"))
-        keys = keys_of(left.join(accepted, KEY, "left_semi")).withColumn("w", F.col("key")).drop("key", "kw")
-        self._append("keys", keys.withColumn("bucket", _bucket(F.col("w"))))
+        keys = keys_of(left.join(accepted, KEY, "left_semi")).drop("level")
+        self._append("keys", keys.withColumn("bucket", _bucket(F.col("key"))))
         return described.select(*KEY).join(accepted, KEY, "left_anti")
 
     def _append(self, part: str, rows: DataFrame) -> None:
