@@ -553,7 +553,7 @@ BEFORE = {
     "phone": {"en": ["Phone ", "my number is ", "Dial ", "mobile: ", "reach us on ", "cell ", "they call back at ", "fax ", "ring me: ", "the landline of the office is ", ""], "de": ["Telefon ", "ruf an: ", "meine Nummer ist ", "Handy ", "erreichbar unter "], "fr": ["téléphone ", "mon numéro : ", "joignable au ", "portable "], "es": ["teléfono ", "mi número es ", "marca el ", "móvil "]},
     "id_number": {"en": ["passport no ", "the national id of the guest is ", "tax number ", "social security no. ", "identity card ", "id: ", "driving licence ", "insurance number (social security) "], "de": ["Reisepass ", "Personalausweis ", "Steuernummer ", "meine Sozialversicherungsnummer ist "], "fr": ["numéro de passeport ", "carte nationale d'identité ", "sécurité sociale ", "numéro fiscal, identité "], "es": ["pasaporte ", "documento de identidad ", "NIF ", "seguridad social "]},
     "address": {"en": ["My address is ", "Send parcels to ", "They live at ", "delivery to ", "we moved into ", "visit us at ", "house: ", "from ", "to ", ""], "de": ["Meine Adresse: ", "wohnhaft ", "Paket an ", "Besuch uns in ", ""], "fr": ["mon adresse : ", "nous habitons ", "colis pour ", "au ", ""], "es": ["mi dirección es ", "vivimos en ", "paquete a ", "está en ", ""]},
-    "name": {"en": ["Ask ", "regards, ", "My dentist is ", "I met ", "with Mr ", "Dr. ", "guest list: ", "a contract for ", "thanks to ", "Ms ", "by ", "\u2014 ", ""], "de": ["Grüße von ", "Herr ", "zusammen mit ", "für "], "fr": ["Merci à ", "Monsieur ", "avec ", "par "], "es": ["Gracias a ", "la señora ", "junto a ", "para "]},
+    "name": {"en": ["Ask ", "regards, ", "My dentist is ", "I met ", "with Mr ", "Dr. ", "guest list: ", "a contract for ", "thanks to ", "Ms ", "by ", "\u2014 ", ""], "de": ["Grüße von ", "Herr ", "zusammen mit ", "für "], "fr": ["Merci à ", "Monsieur ", "avec ", "par "], "es": ["Gracias a ", "doña ", "junto a ", "para "]},
 }
 BEHIND = ["", "", ".", ".", " now.", " please", ", thanks", " as agreed.", "!", "; then more", " and so on", " (new)", ">", " or later.", " for a while", "\n", " near the lake", " agreed.", ", who left early", " wrote back."]
 # Numbers that are no personal ones; # takes a run of digits, 9 a digit.

@@ -13,6 +13,9 @@ from recallframe.llm import queries as q
 from tests.oracle import DATA
 
 
+LARGER = "/root/testdata/sf0.1"
+
+
 # ---------------------------------------------------------------- 1
 @pytest.fixture(scope="module")
 def finder():
@@ -160,15 +163,21 @@ def test_refusals_are_told_by_what_they_say(spark):
 def test_training_wording_is_not_taken_from_the_tables():
     """No refusal or carrier that the training puts together stands word for word in a table's reply."""
     rng, con = np.random.default_rng(1), duckdb.connect()
-    held = con.sql(f"select lower(hypothesis) t from '{DATA}/qa_compare.parquet' where hypothesis is not null union select lower(hyp_blank) from '{DATA}/developmental_test.parquet' where hyp_blank is not null").fetchall()
+    held = con.sql(f"select lower(hypothesis) t from '{LARGER}/qa_compare.parquet' where hypothesis is not null union select lower(hyp_blank) from '{LARGER}/developmental_test.parquet' where hyp_blank is not null").fetchall()
     said = "\n".join(t for (t,) in held)
     made = {replies._composed(parts, rng).strip(" .").lower() for parts in replies.REFUSAL_PARTS.values() for _ in range(300)}
     assert len(made) > 300 and not [m for m in made if len(m.split()) > 2 and m in said]
+    answers = con.sql(f"select lower(answer) t from '{LARGER}/qa_compare.parquet' where answer is not null union select lower(answer) from '{LARGER}/developmental_test.parquet' where answer is not null").fetchall()
+    given = "\n".join(t for (t,) in answers)
+    never = {replies._composed(parts, rng).split("{}")[0].strip(" .;:").lower() for parts in replies.NEVER_PARTS.values() for _ in range(300)}
+    assert not [m for m in never if len(m.split()) > 2 and m in given]
+    hedges = [h.replace("{}", "").strip(" :;,.").lower() for h in [*replies.HEDGED, *replies.BEFORE, *replies.BEHIND]]
+    assert not [h for h in hedges if len(h.split()) > 2 and h in said]
 
 
 def test_carriers_are_not_taken_from_the_tables():
     con = duckdb.connect()
-    held = "\n".join(t for (t,) in con.sql(f"select lower(text) from '{DATA}/store_requests.parquet' where text is not null union select lower(text) from '{DATA}/extracted_facts.parquet' where text is not null").fetchall())
+    held = "\n".join(t for (t,) in con.sql(f"select lower(text) from '{LARGER}/store_requests.parquet' where text is not null union select lower(text) from '{LARGER}/extracted_facts.parquet' where text is not null").fetchall())
     carriers = [b for by_lang in pii.BEFORE.values() for own in by_lang.values() for b in own if len(b.split()) > 1]
     assert not [b for b in carriers if b.strip().lower() in held]
 
