@@ -701,6 +701,9 @@ def fit(pairs: DataFrame) -> Judge:
     yes = list(dict.fromkeys(_named(_composed(parts, rng), rng) + "." for parts in NEVER_PARTS.values() for _ in range(120)))
     plain = lambda ts: list(dict.fromkeys(t for t in ts if t))[:1500]
     no = plain(m[1] for m in made if m[3] is None)
+    # sound replies may themselves say that nothing was given: those that decline teach nothing here, hedged ones do
+    no = [t for t, declines in zip(no, Features(base, [None] * len(no), no, [None] * len(no), only_ideas=True).declines) if not declines]
+    no += [HEDGED[i % len(HEDGED)].replace("{}", t) for i, t in enumerate(no[:300])]
     none = [None] * (len(yes) + len(no))
     g = Features(base, none, yes + no, none, only_ideas=True)
     given = Linear(g.dense.shape[1], 1).train(g, np.array([[1.0]] * len(yes) + [[0.0]] * len(no)))
