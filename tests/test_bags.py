@@ -2,7 +2,7 @@
 
 import random
 
-from recallframe.operators import bags, lexical
+from recallframe.operators import bags, lexical, sessions
 
 
 def shuffled(spark) -> int:
@@ -45,3 +45,19 @@ def test_search_has_no_row_for_each_pair(spark):
     before = shuffled(spark)
     assert lexical.search(lexical.build(docs), asked, 10).count() == 6000
     assert shuffled(spark) - before < 60_000  # 360,000 pairs share a word
+
+
+def test_likest_has_no_row_for_each_pair(spark):
+    facts = spark.createDataFrame([(i, f"the d{i}") for i in range(600)], "id long, text string")
+    asked = spark.createDataFrame([(i, f"the q{i}") for i in range(600)], "qid long, text string")
+    before = shuffled(spark)
+    found = sessions.likest(asked, facts, 5).collect()
+    assert shuffled(spark) - before < 60_000  # 360,000 pairs share a word
+    assert sorted(map(tuple, found)) == [(q, i, 0.333333, i + 1) for q in range(600) for i in range(5)]
+
+
+def test_likest_rounds_halves_up(spark):
+    words = " ".join(f"w{i}" for i in range(128))
+    facts = spark.createDataFrame([(1, words), (2, "z")], "id long, text string")
+    found = sessions.likest(spark.createDataFrame([(9, "w0")], "qid long, text string"), facts, 2)
+    assert sorted(map(tuple, found.collect())) == [(9, 1, 0.007813, 1), (9, 2, 0.0, 2)]  # 1/128
