@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WRAPPERS = ("items", "data", "messages", "memories", "records")
+#: Characters after which ``listed`` begins another list.
+LISTED = 4_000_000
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +31,21 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     return checked.select(F.explode(items).alias("r")).select(F.to_json("r").alias("raw"))
 
 
+def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """JSON lists of successive JSON texts in ``value``, for ``mapInPandas``; each has the text with which it is full, and a part without texts has an empty one."""
+    whole = lambda texts: pd.DataFrame({"value": ["[" + ",".join(texts) + "]"]})
+    held, size, full = [], 0, False
+    for batch in batches:
+        for text in batch["value"]:
+            held.append(text)
+            size += len(text)
+            if size >= LISTED:
+                yield whole(held)
+                held, size, full = [], 0, True
+    if held or not full:
+        yield whole(held)
+
+
 def csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, as JSON objects in ``raw``."""
     return spark.read.option("header", True).csv(path).select(F.to_json(F.struct("*")).alias("raw"))
